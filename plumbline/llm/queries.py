@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, simhash, sketch, toxicity
+from . import bpe, decontaminate, language_id, license_scan, simhash, sketch, suffix_dedup, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def _remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string")) % by
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "report.*")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
