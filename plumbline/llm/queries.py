@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, simhash, sketch, suffix_dedup, toxicity
+from . import bpe, decontaminate, html_extract, language_id, license_scan, simhash, sketch, suffix_dedup, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).withColumn("held_out", F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
+    "op6_html_extract": op6_html_extract,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
