@@ -443,8 +443,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return settled.where("kind = 1").select("_id", "_tie", "spans").union(found)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with two more columns: `kept` (binary, the bytes that stay) and `report`, a struct of n_bytes, n_removed, n_spans, kept_sha256.
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with two more columns: `kept` (the bytes that stay; with decoded a string, without cut characters) and `report`, a struct of n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes and matches never cross documents. Strings are judged on the
     input: a byte goes if any string of `length` bytes over it starts earlier as well, by ascending
@@ -477,7 +477,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
                         rest, n_spans = data, 0
                     kept.append(rest)
                     reports.append({"n_bytes": len(data), "n_removed": len(data) - len(rest), "n_spans": n_spans, "kept_sha256": hashlib.sha256(rest).hexdigest()})
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(kept, pa.binary()), pa.array(reports, kind)], [*cols, "kept", "report"])
+                if decoded:
+                    kept = [k.decode("utf-8", "ignore") for k in kept]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(kept, pa.string() if decoded else pa.binary()), pa.array(reports, kind)], [*cols, "kept", "report"])
 
-    more = StructType.fromDDL("kept binary, report struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
+    more = StructType.fromDDL(f"kept {'string' if decoded else 'binary'}, report struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
     return joined.mapInArrow(run, StructType([*docs.schema.fields, *more.fields]))
