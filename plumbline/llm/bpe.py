@@ -20,8 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries of the piece and transition caches before they are emptied; bounds a worker's memory.
-CACHE_PIECES, CACHE_STATES = 600_000, 200_000
+#: Entries of a generation of the piece cache (the last two are kept) and states before they are dropped; bounds a worker's memory.
+CACHE_PIECES, CACHE_STATES = 500_000, 300_000
 
 #: Unicode White_Space, spelt out: Python's \s also has U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -180,10 +180,15 @@ class Codec:
         fst = self.fst
 
         class Pieces(dict):
+            before: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                got = fst.encode(piece.encode())
+                got = self.before.get(piece)
+                if got is None:
+                    got = fst.encode(piece.encode())
                 if len(piece) <= 64:
                     if len(self) >= CACHE_PIECES:
+                        self.before = dict(self)
                         self.clear()
                     self[piece] = got
                 return got

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, language_id, license_scan, simhash, sketch, suffix_dedup, toxicity
+from . import bpe, decontaminate, html_extract, language_id, license_scan, passages, simhash, sketch, suffix_dedup, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "report.*")
 
 
+def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_fuzzy_passages": op2_fuzzy_passages,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
