@@ -29,6 +29,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free(name: str, taken) -> str:
+    """name, lengthened until no column has it (names are compared without case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def input_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Catalyst's size estimate of the files below df (no job runs)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -27,7 +27,7 @@ def _labelled(length: int):
 
 def _places(prints: str):
     """Starts of the windows whose fingerprint is `print`."""
-    return F.filter(F.sequence(F.lit(0), F.size(prints) - 1), lambda s: F.element_at(prints, s + 1) == F.col("print"))
+    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(prints) - 1, F.lit(0))), lambda s: F.get(prints, s) == F.col("print"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -69,7 +69,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     size = bench.groupBy("length").agg(F.count_distinct("print").alias("n")).collect()  # a row for each length
     lengths, small = sorted(r["length"] for r in size), sum(r["n"] for r in size) <= BROADCAST_PRINTS
     prints = bench.select("length", "print").distinct()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), words(F.col(text_col)).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.xxhash64(id_col, text_col).alias("mark"), words(F.col(text_col)).alias("words"))
     for n in lengths:
         rows = _with_prints(rows, n, window, gram)
     # one row of each document carries its count of words, the others its distinct fingerprints
@@ -80,10 +80,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         rows = rows.select("*", F.explode(found).alias("p")).select("*", "p.length", "p.print")
         rows = rows.join(F.broadcast(prints.withColumn("known", F.lit(True))), ["length", "print"], "left").where("known or length = 0")
     else:
-        known = rows.select("row", F.explode(found).alias("p")).select("row", "p.length", "p.print").join(prints, ["length", "print"])
-        known = known.groupBy("row").agg(F.collect_list(F.struct("length", "print")).alias("known"))
+        # row numbers hold for one scan only; a hash of the row finds it again, and what it finds is compared word by word below
+        known = rows.select("mark", F.explode(found).alias("p")).select("mark", "p.length", "p.print").join(prints, ["length", "print"])
+        known = known.groupBy("mark").agg(F.collect_set(F.struct("length", "print")).alias("known"))
         none = F.array(F.struct(F.lit(0).alias("length"), F.lit(None).cast("long").alias("print")))
-        rows = rows.join(known, "row", "left").select("*", F.explode(F.concat(none, F.coalesce("known", F.slice(none, 2, 1)))).alias("p")).select("*", "p.length", "p.print")
+        rows = rows.join(known, "mark", "left").select("*", F.explode(F.concat(none, F.coalesce("known", F.slice(none, 2, 1)))).alias("p")).select("*", "p.length", "p.print")
     starts = F.array().cast("array<int>")
     for n in lengths:
         starts = F.when((F.col("length") == n) & F.col("print").isNotNull(), _places(f"m{n}")).otherwise(starts)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import free, quoted, written
 
 LENGTH, GRAM = 100, 24
 #: One document in so many is looked at for crowded keys, and a key is crowded beyond this share of their stretches.
@@ -443,21 +443,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return settled.where("kind = 1").select("_id", "_tie", "spans").union(found)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False,
+          kept: str = "kept", report: str = "report") -> DataFrame:
     """docs with two more columns: `kept` (the bytes that stay; with decoded a string, without cut characters) and `report`, a struct of n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes and matches never cross documents. Strings are judged on the
     input: a byte goes if any string of `length` bytes over it starts earlier as well, by ascending
     id (null ids first), rows of equal id in the order of a hash of their texts. Null and empty texts
     and texts under `length` bytes keep everything; rows equal in id and text are one document
-    to each other and get equal results; all columns of docs stay, but must not be called _id, _tie,
-    spans, kept or report; an empty table gives an empty result.
+    to each other and get equal results; all columns of docs stay, and the two
+    new ones are named by the caller, apart from those; an empty table gives an empty result.
     """
     cols = docs.columns
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    own_id, own_tie, own_spans = (free(c, cols) for c in ("_id", "_tie", "spans"))
+    keyed = docs.withColumns({own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), own_tie: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     spans = repeated_spans(_keyed(docs, id_col, text_col), length, gram)
-    spans = spans.groupBy("_id", "_tie").agg(F.collect_list("spans").alias("spans"))
-    joined = keyed.join(spans, ["_id", "_tie"], "left").select(*cols, "spans")
+    spans = spans.groupBy(F.col("_id").alias(own_id), F.col("_tie").alias(own_tie)).agg(F.collect_list("spans").alias(own_spans))
+    joined = keyed.join(spans, [own_id, own_tie], "left").select(*map(quoted, cols), own_spans)
     at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,7 +467,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                kept, reports = [], []
+                left, reports = [], []
                 for text, runs in zip(part.column(at), part.column(len(cols))):
                     data = (text.as_py() or "").encode()
                     runs = runs.as_py()
@@ -475,11 +477,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
                         n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     else:
                         rest, n_spans = data, 0
-                    kept.append(rest)
+                    left.append(rest)
                     reports.append({"n_bytes": len(data), "n_removed": len(data) - len(rest), "n_spans": n_spans, "kept_sha256": hashlib.sha256(rest).hexdigest()})
                 if decoded:
-                    kept = [k.decode("utf-8", "ignore") for k in kept]
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(kept, pa.string() if decoded else pa.binary()), pa.array(reports, kind)], [*cols, "kept", "report"])
+                    left = [k.decode("utf-8", "ignore") for k in left]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(left, pa.string() if decoded else pa.binary()), pa.array(reports, kind)], [*cols, kept, report])
 
-    more = StructType.fromDDL(f"kept {'string' if decoded else 'binary'}, report struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
+    more = StructType.fromDDL(f"{kept} {'string' if decoded else 'binary'}, {report} struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
     return joined.mapInArrow(run, StructType([*docs.schema.fields, *more.fields]))
