@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
-from plumbline.llm.common import table, written
+from plumbline.llm.common import free, quoted, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each SimHash component the document with the smallest id; rows of one id stay together."""
     groups = simhash.near_duplicates(docs)
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = free("_kept", docs.columns)
+    return docs.join(keep.select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +33,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars counts the new text. Documents of which nothing is left go; empty and null texts that were so before stay.
     """
-    cut = suffix_dedup.dedup(docs, decoded=True)
-    cut = cut.where("report.n_removed = 0 or report.n_removed < report.n_bytes")
-    changed = F.col("report.n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept, report = free("kept", docs.columns), free("report", docs.columns)
+    cut = suffix_dedup.dedup(docs, decoded=True, kept=kept, report=report)
+    cut = cut.where(f"{report}.n_removed = 0 or {report}.n_removed < {report}.n_bytes")
+    changed = F.col(f"{report}.n_removed") > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    return cut.select(*(new[c].alias(c) if c in new else F.col(quoted(c)) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = free("_bad", docs.columns)
+    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
