@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _EPS, _TINY = 1e-16, 1e-300
 
@@ -134,7 +135,7 @@ def f_pvalue(x: float, d1: float, d2: float) -> float:
 def column(f, *args):
     """A scalar function of this module as a column; rows travel in Arrow batches."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def apply(*cols: pd.Series) -> pd.Series:
         return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*cols)], dtype="float64")
 

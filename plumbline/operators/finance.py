@@ -10,11 +10,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.special import norm_cdf
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(norm_cdf, na_action="ignore")
 

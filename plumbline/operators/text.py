@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Maximal runs of letters and digits.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -35,7 +36,7 @@ def tfidf(docs: DataFrame, doc: str, text: str, min_df: int = 1, smooth: bool =
     return weighted.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """64-bit FNV-1a of the UTF-8 bytes, as a signed long: byte by byte over a whole Arrow batch at once."""
     data = [t.encode() for t in text]
