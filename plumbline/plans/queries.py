@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.expr import dot
-from ..operators import cluster, feature, finance, gram, kernels, metrics, pairwise, preprocess, series, splits, text
+from ..operators import cluster, feature, finance, gram, kernels, metrics, pairwise, preprocess, series, splits, text, trees
 from ..sources import read, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -616,3 +616,86 @@ def asian_option(spark, d):
 @query("SELECT unnest([0.0, 0.5, 1.0, 2.0, 3.0])::DOUBLE AS z, round(unnest([0.5, 0.691462461274, 0.841344746069, 0.977249868052, 0.998650101968]), 9) AS p")
 def normal_distribution(spark, d):
     return rounded(spark.createDataFrame([(z,) for z in (0.0, 0.5, 1.0, 2.0, 3.0)], "z double").select("z", special.column(special.norm_cdf, F.col("z")).alias("p")), 9)
+
+
+# ---- trees --------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def regression_tree(spark, d):
+    li = read(spark, d, "lineitem")
+    nodes = trees.grow(li, XS, "l_extendedprice", depth=3)
+    return rounded(li.groupBy(trees.leaf(nodes).alias("leaf")).agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean")), 4)
+
+
+@query("""WITH e AS (SELECT DISTINCT l_linenumber AS e FROM lineitem WHERE l_linenumber < 7), t AS (SELECT count(*) AS n, sum(l_extendedprice) AS s FROM lineitem),
+g AS (SELECT e, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem JOIN e ON l_linenumber <= e GROUP BY 1), b AS (SELECT e FROM g, t ORDER BY g.s * g.s / g.n + (t.s - g.s) * (t.s - g.s) / (t.n - g.n) DESC, e LIMIT 1)
+SELECT (l_linenumber <= e)::BOOLEAN AS left_side, count(*) AS n, round(avg(l_extendedprice), 3) AS mean FROM lineitem, b GROUP BY 1""")
+def stump(spark, d):
+    li = read(spark, d, "lineitem")
+    nodes = trees.grow(li, ["l_linenumber"], "l_extendedprice", depth=1, bins=256)
+    return rounded(li.groupBy((F.col("l_linenumber") <= F.lit(nodes[0].threshold)).alias("left_side")).agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean")), 3)
+
+
+@query()
+def forest_regression(spark, d):
+    li = read(spark, d, "lineitem")
+    grown = trees.forest(li, XS, "l_extendedprice", trees=3, depth=2)
+    p = sum((trees.predict(t) for t in grown[1:]), trees.predict(grown[0])) / len(grown)
+    return metrics.regression(li.withColumn("p", p), "l_extendedprice", "p")
+
+
+@query()
+def boosted_regression(spark, d):
+    li = read(spark, d, "lineitem")
+    start, grown = trees.boost(li, XS, "l_extendedprice", rounds=4, rate=0.5)
+    p = F.lit(start)
+    for t in grown:
+        p = p + 0.5 * trees.predict(t)
+    return metrics.regression(li.withColumn("p", p), "l_extendedprice", "p")
+
+
+@query()
+def hawkes_fit(spark, d):
+    import pandas as pd
+
+    def run(p):
+        t = p["t"].to_numpy(float)
+        t = (t - t[0]) / 3600
+        mu, alpha, beta = kernels.hawkes_fit(t, float(t[-1]) + 1e-9)
+        return pd.DataFrame({"mu": [mu], "alpha": [alpha], "beta": [beta]})
+
+    return series.per_key(ticks(spark, d), "series", ["t"], "mu double, alpha double, beta double", run)
+
+
+@query()
+def mean_reversion_fit(spark, d):
+    import pandas as pd
+
+    def run(p):
+        kappa, theta, sigma = kernels.ou_fit(p["value"].to_numpy(float), 1.0)
+        return pd.DataFrame({"kappa": [kappa], "theta": [theta], "sigma": [sigma]})
+
+    return rounded(series.per_key(read(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "kappa double, theta double, sigma double", run))
+
+
+@query()
+def particle_filter(spark, d):
+    import pandas as pd
+
+    def run(p):
+        m, ll = kernels.bootstrap_filter(p["value"].to_numpy(float), 1.0, 10.0, 50.0, 100.0)
+        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "filtered": m, "loglik": ll})
+
+    return series.per_key(read(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "event_id long, filtered double, loglik double", run)
+
+
+@query()
+def recursive_least_squares(spark, d):
+    import pandas as pd
+
+    def run(p):
+        theta, _ = kernels.recursive_least_squares(p[["l_quantity", "l_discount"]].to_numpy(float), p["l_extendedprice"].to_numpy(float), 0.999)
+        return pd.DataFrame({"term": ["intercept", "l_quantity", "l_discount"], "estimate": theta})
+
+    return series.per_key(read(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice"), "l_suppkey", _KEY, "term string, estimate double", run)
