@@ -7,7 +7,8 @@ may stand side by side iff the merges leave them apart. A state of the transduce
 the future can still depend on: the last emitted token and the bytes after it that some
 vocabulary entry may still join. Tokens that all live paths share are emitted; the
 lookahead is therefore bounded by the length of the longest entry. States and transitions
-are made on demand and kept.
+are made on demand and kept, up to a bound; from there on rare pieces run through the same
+configurations without keeping them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries of a generation of the piece cache (the last two are kept) and states before they are dropped; bounds a worker's memory.
-CACHE_PIECES, CACHE_STATES = 500_000, 300_000
+#: Entries of a generation of the piece cache (the last two are kept) and determinised states; bounds a worker's memory.
+CACHE_PIECES, CACHE_STATES = 300_000, 40_000
+#: Bytes after which a run without states settles what it can.
+LOOKAHEAD = 48
 
 #: Unicode White_Space, spelt out: Python's \s also has U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -98,10 +101,9 @@ class Transducer:
         self.fits[a, b] = apart
         return apart
 
-    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        tail, tokens, starts, open_at = self.states[state]
-        n = len(tail) + 1
-        tail += bytes((byte,))
+    def _extend(self, tail: bytes, tokens: list[int], starts: list[int], open_at: list[int]) -> list[int]:
+        """Append the last token of tail's encoding, and its start; returns where an entry may still be open."""
+        n = len(tail)
         known, fits = self.known.get, self.fits.get
         live, token, start = [], None, n
         for s in (*open_at, n - 1):
@@ -118,9 +120,14 @@ class Transducer:
                 if ok:
                     token, start = t, s
         if token is None:
-            raise ValueError(f"byte {byte} is not in the vocabulary")
-        tokens, starts = [*tokens, token], [*starts, start]
-        # the deepest prefix that every live path goes through
+            raise ValueError(f"byte {tail[-1]} is not in the vocabulary")
+        tokens.append(token)
+        starts.append(start)
+        return live
+
+    @staticmethod
+    def _settled(n: int, starts: list[int], live: list[int]) -> int:
+        """The deepest prefix that every live path goes through."""
         at = n
         for s in live:
             while s != at:
@@ -130,40 +137,64 @@ class Transducer:
                     at = starts[at]
             if not at:
                 break
-        emitted, i = b"", at
-        while i:
-            emitted = self.packed[tokens[i]] + emitted
-            i = starts[i]
-        if at:
-            tail, tokens, starts, live = tail[at:], tokens[at:], [max(0, x - at) for x in starts[at:]], [s - at for s in live]
-        key = (tokens[0], tail)
+        return at
+
+    def _emit(self, tokens: list[int], starts: list[int], at: int) -> bytes:
+        out = b""
+        while at:
+            out = self.packed[tokens[at]] + out
+            at = starts[at]
+        return out
+
+    def _cut(self, tail: bytes, tokens: list[int], starts: list[int], live: list[int]) -> tuple[bytes, tuple]:
+        """What is settled, as ids, and the configuration after it."""
+        at = self._settled(len(tail), starts, live)
+        if not at:
+            return b"", (tail, tokens, starts, live)
+        return self._emit(tokens, starts, at), (tail[at:], tokens[at:], [max(0, x - at) for x in starts[at:]], [s - at for s in live])
+
+    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
+        tail, tokens, starts, open_at = self.states[state]
+        tail, tokens, starts = tail + bytes((byte,)), [*tokens], [*starts]
+        live = self._extend(tail, tokens, starts, open_at)
+        emitted, config = self._cut(tail, tokens, starts, live)
+        key = (config[1][0], config[0])
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
-            self.states.append((tail, tokens, starts, live))
+            self.states.append(config)
             self.moves.append({})
         got = self.moves[state][byte] = (to, emitted)
         return got
 
+    def _undetermined(self, state: int, rest: bytes) -> bytes:
+        """The transducer run on from a state without keeping what it meets: for rare pieces when the states are all taken."""
+        tail, tokens, starts, live = self.states[state]
+        tokens, starts, out = [*tokens], [*starts], []
+        for i in range(len(rest)):
+            tail += rest[i:i + 1]
+            live = self._extend(tail, tokens, starts, live)
+            if len(tail) >= LOOKAHEAD:
+                emitted, (tail, tokens, starts, live) = self._cut(tail, tokens, starts, live)
+                out.append(emitted)
+        out.append(self._emit(tokens, starts, len(tail)))
+        return b"".join(out)
+
     def _end(self, state: int) -> bytes:
         got = self.ends.get(state)
         if got is None:
             tail, tokens, starts, _ = self.states[state]
-            got, i = b"", len(tail)
-            while i:
-                got = self.packed[tokens[i]] + got
-                i = starts[i]
-            self.ends[state] = got
+            got = self.ends[state] = self._emit(tokens, starts, len(tail))
         return got
 
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
-        if len(self.states) > CACHE_STATES:
-            self._reset()
         state, out, moves = 0, b"", self.moves
-        for byte in piece:
+        for i, byte in enumerate(piece):
             to = moves[state].get(byte)
             if to is None:
+                if len(self.states) >= CACHE_STATES:
+                    return out + self._undetermined(state, piece[i:])
                 to = self._step(state, byte)
             state = to[0]
             if to[1]:
