@@ -152,3 +152,54 @@ def gaussian_nb(df: DataFrame, cols: list[str], label: str) -> DataFrame:
         entry = F.struct(s.alias("s"), F.lit(r[label]).alias("l"))
         best = entry if best is None else F.when(entry["s"] > best["s"], entry).otherwise(best)
     return df.withColumn("predicted", best["l"])
+
+
+def separation(df: DataFrame, vec: str, label: str) -> dict[str, float]:
+    """Calinski-Harabasz and Davies-Bouldin scores of a labeling, from the groups' counts, means and spreads."""
+    groups = group_moments(df, vec, label)
+    n, k = sum(g[0] for g in groups.values()), len(groups)
+    mean = sum(g[0] * g[1] for g in groups.values()) / n
+    within = sum(np.trace(g[2]) * max(g[0] - 1, 0) for g in groups.values())
+    between = sum(g[0] * float((g[1] - mean) @ (g[1] - mean)) for g in groups.values())
+    names = list(groups)
+    centres = np.stack([groups[g][1] for g in names])
+    kind = {g: i for i, g in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, c = np.zeros(k), np.zeros(k, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float)
+                g = np.array([kind[v] for v in batch.column(1).to_pylist()])
+                s += np.bincount(g, np.linalg.norm(x - centres[g], axis=1), k)
+                c += np.bincount(g, minlength=k)
+        yield pa.RecordBatch.from_pydict({"g": pa.array(np.arange(k), pa.int32()), "s": pa.array(s), "n": pa.array(c)})
+
+    spread = np.zeros(k)
+    for r in df.where(F.col(vec).isNotNull()).select(vec, F.col(label).cast("long")).mapInArrow(run, "g int, s double, n long").groupBy("g").agg((F.sum("s") / F.sum("n")).alias("m")).collect():
+        spread[r["g"]] = r["m"]
+    far = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    np.fill_diagonal(far, np.inf)
+    return {"calinski_harabasz": float(between / max(k - 1, 1) / (within / max(n - k, 1))), "davies_bouldin": float(((spread[:, None] + spread[None]) / far).max(1).mean())}
+
+
+def ledoit_wolf(df: DataFrame, vec: str) -> tuple[np.ndarray, float]:
+    """Covariance (n) shrunk to a multiple of the identity, and the intensity: n^-2 sum |x x' - S|^2 / |S - mu I|^2, within [0, 1]."""
+    n, mean, cov = group_moments(df, vec)[0]
+    s = cov * (n - 1) / n
+    dim = len(mean)
+    mu = np.trace(s) / dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float) - mean
+                # |x x' - S|^2 = |x|^4 - 2 x' S x + |S|^2
+                t += float(((x * x).sum(1) ** 2 - 2 * np.einsum("ij,jk,ik->i", x, s, x)).sum()) + len(x) * float((s * s).sum())
+        yield pa.RecordBatch.from_pydict({"t": [t]})
+
+    t = df.where(F.col(vec).isNotNull()).select(vec).mapInArrow(run, "t double").agg(F.sum("t").alias("t")).first()["t"]
+    gap = float(((s - mu * np.eye(dim)) ** 2).sum())
+    share = min(1.0, max(0.0, t / n**2 / gap)) if gap > 0 else 1.0
+    return (1 - share) * s + share * mu * np.eye(dim), share

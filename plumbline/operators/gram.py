@@ -233,3 +233,36 @@ def glm(df: DataFrame, xs: Sequence[str], y: str, family: str = "binomial", lam:
     out = change @ beta
     se = np.sqrt(np.diag(cov))
     return report.finish(LinearFit(list(xs), out[1:], float(out[0]), se, out / se, n=means["_n"]))
+
+
+def huber(df: DataFrame, xs: Sequence[str], y: str, k: float = 1.345, most: int = 50, tol: float = 1e-8) -> Qualified[LinearFit]:
+    """Huber regression: weighted least squares again and again, the scale by the median absolute residual; two passes a step."""
+    report = Report()
+    fit = ols(df, xs, y).value
+    for _ in range(most):
+        r = F.abs(F.col(y) - fit.predict())
+        scale = (df.agg(F.percentile_approx(r, 0.5, 10_000).alias("m")).first()["m"] or 0.0) / 0.6744897501960817
+        if scale <= 0:
+            break
+        w = F.when(r <= k * scale, 1.0).otherwise(k * scale / r)
+        new = ols(df.withColumn("_hw", w), xs, y, "_hw").value
+        moved = max(abs(new.intercept - fit.intercept) / (1 + abs(fit.intercept)), *(abs(a - b) / (1 + abs(b)) for a, b in zip(new.coef, fit.coef)))
+        fit = new
+        if moved < tol:
+            break
+    else:
+        report.add("NotConverged", Severity.WARNING, f"after {most} steps")
+    return report.finish(fit)
+
+
+def grouped_slopes(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataFrame:
+    """(key, n, slope, intercept, r2) of a simple regression in each group, in one aggregation."""
+    return df.groupBy(*key).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+
+
+def rolling_slope(df: DataFrame, key: Sequence[str], order: Sequence[str], x: str, y: str, window: int, out: str) -> DataFrame:
+    """Slope of the last `window` rows (fewer: null)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(window - 1), 0)
+    return df.withColumn(out, F.when(F.count(F.lit(1)).over(w) >= window, F.regr_slope(F.col(y), F.col(x)).over(w)))

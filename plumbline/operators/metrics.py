@@ -163,3 +163,23 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     r = lambda c: c * F.lit(pi / 180)
     h = F.pow(F.sin((r(lat2) - r(lat1)) / 2), 2) + F.cos(r(lat1)) * F.cos(r(lat2)) * F.pow(F.sin((r(lon2) - r(lon1)) / 2), 2)
     return 2 * 6371.0088 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def scores_by_class(df: DataFrame, y: str, p: str, beta: float = 2.0) -> DataFrame:
+    """(label, jaccard, f_beta, specificity) of each label; empty denominators give 0."""
+    k = per_class(df, y, p)
+    n = _labels(df, y, p).agg(F.count("*").alias("total"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    b2 = beta * beta
+    tn = F.col("total") - F.col("tp") - F.col("fp") - F.col("fn")
+    return k.join(F.broadcast(n)).select("label", share(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("jaccard"),
+                                         share((1 + b2) * F.col("tp"), (1 + b2) * F.col("tp") + b2 * F.col("fn") + F.col("fp")).alias("f_beta"), share(tn, tn + F.col("fp")).alias("specificity"))
+
+
+def kolmogorov_smirnov(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Largest gap between the score's distributions in the two classes; on counts by score."""
+    by = df.groupBy(score).agg(F.sum(F.when(F.round(y) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
+    w = Window.orderBy(score)
+    c = by.withColumn("cp", F.sum("pos").over(w)).withColumn("cn", F.sum(F.col("n") - F.col("pos")).over(w))
+    s = c.agg(F.max("cp").alias("tp"), F.max("cn").alias("tn"))
+    return c.join(F.broadcast(s)).agg(F.max(F.abs(F.col("cp") / F.col("tp") - F.col("cn") / F.col("tn"))).alias("ks"))

@@ -39,15 +39,17 @@ def autocorrelation(df: DataFrame, key: Sequence[str], order: Sequence[str], v:
 
 
 def exponentially_weighted(df: DataFrame, key: Sequence[str], order: Sequence[str], v: str, alpha: float) -> DataFrame:
-    """(key, ew_mean, n_eff) after the last value: m <- alpha x + (1 - alpha) m, from the first value on.
+    """(key, ew_mean, ew_variance, n_eff) after the last value: m <- alpha x + (1 - alpha) m, from the first value on.
 
-    The closed weights alpha (1 - alpha)^(n - i) make it one ranked sum.
+    The closed weights alpha (1 - alpha)^(n - i) make it one ranked sum, and the recursive variance is the values' variance
+    under them; it is taken about the key's mean, so that large levels do not cancel.
     """
     w = Window.partitionBy(*key)
     d = df.where(finite(F.col(v))).withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
     weight = F.when(F.col("_i") == 1, F.pow(F.lit(1 - alpha), F.col("_n") - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_i")))
-    d = d.withColumn("_w", weight)
-    return d.groupBy(*key).agg(F.sum(F.col("_w") * F.col(v)).alias("ew_mean"), (1 / F.sum(F.col("_w") * F.col("_w"))).alias("n_eff"))
+    d = d.withColumn("_w", weight).withColumn("_c", F.avg(v).over(w)).withColumn("_z", F.col(v) - F.col("_c"))
+    z = F.sum(F.col("_w") * F.col("_z"))
+    return d.groupBy(*key).agg((F.first("_c") + z).alias("ew_mean"), (F.sum(F.col("_w") * F.col("_z") * F.col("_z")) - z * z).alias("ew_variance"), (1 / F.sum(F.col("_w") * F.col("_w"))).alias("n_eff"))
 
 
 def returns(df: DataFrame, key: Sequence[str], order: Sequence[str], v: str, out: str = "r", log: bool = True) -> DataFrame:
@@ -143,8 +145,16 @@ def per_key(df: DataFrame, key: str, order: Sequence[str], schema: str, kernel:
     return df.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
 
 
-def fold_ew_variance(values: Column, alpha: float) -> Column:
-    """EW mean and variance of an ordered array by one fold: struct(mean, variance)."""
-    start = F.struct(F.element_at(values, 1).alias("mean"), F.lit(0.0).alias("variance"))
-    step = lambda s, x: F.struct((s["mean"] + alpha * (x - s["mean"])).alias("mean"), ((1 - alpha) * (s["variance"] + alpha * F.pow(x - s["mean"], 2))).alias("variance"))
-    return F.when(F.size(values) > 0, F.aggregate(F.slice(values, 2, F.size(values)), start, step))
+def autocorrelations(df: DataFrame, key: Sequence[str], order: Sequence[str], v: str, lags: int) -> DataFrame:
+    """(key, lag, acf): lagged products about the key's mean over its sum of squares."""
+    w = Window.partitionBy(*key)
+    d = df.withColumn("_z", F.col(v) - F.avg(v).over(w))
+    d = d.select(*key, F.col("_z").alias("_0"), *(F.lag("_z", k).over(w.orderBy(*order)).alias(f"_{k}") for k in range(1, lags + 1)))
+    sums = d.groupBy(*key).agg(F.sum(F.col("_0") * F.col("_0")).alias("_s"), *(F.sum(F.col("_0") * F.col(f"_{k}")).alias(f"_p{k}") for k in range(1, lags + 1)))
+    return sums.select(*key, F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), (F.col(f"_p{k}") / F.nullif(F.col("_s"), F.lit(0.0))).alias("acf")) for k in range(1, lags + 1)))).alias("_k")).select(*key, "_k.lag", "_k.acf")
+
+
+def histogram(df: DataFrame, v: str, bins: int, low: float, high: float) -> DataFrame:
+    """(bin, n) of equal widths; the last bin holds its upper end, what is outside is left out."""
+    b = F.least(F.floor((F.col(v) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("long")
+    return df.where((F.col(v) >= low) & (F.col(v) <= high)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))

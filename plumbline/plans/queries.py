@@ -413,7 +413,7 @@ def autocorrelation(spark, d):
 @query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), w AS (SELECT *, CASE WHEN i = 1 THEN 0.9 ** (n - 1) ELSE 0.1 * 0.9 ** (n - i) END AS w FROM r)
 SELECT user_id, round(sum(w * value), 6) AS ew_mean, round(1 / sum(w * w), 6) AS n_eff FROM w GROUP BY 1""")
 def exponentially_weighted_mean(spark, d):
-    return rounded(series.exponentially_weighted(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 0.1))
+    return rounded(series.exponentially_weighted(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 0.1).drop("ew_variance"))
 
 
 _TICKS = "SELECT event_type AS series, epoch_us(ts) / 1e6 AS t, max(event_id) AS seq, arg_max(value, event_id) AS v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2"
@@ -699,3 +699,80 @@ def recursive_least_squares(spark, d):
         return pd.DataFrame({"term": ["intercept", "l_quantity", "l_discount"], "estimate": theta})
 
     return series.per_key(read(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice"), "l_suppkey", _KEY, "term string, estimate double", run)
+
+
+# ---- more of each -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH c AS (SELECT unnest([0, 1])::BIGINT AS label), k AS (SELECT label, sum((y = label AND p = label)::INT) AS tp, sum((y <> label AND p = label)::INT) AS fp, sum((y = label AND p <> label)::INT) AS fn, sum((y <> label AND p <> label)::INT) AS tn FROM c, ({_LABELLED}) GROUP BY 1)
+SELECT label, round(tp / (tp + fp + fn), 6) AS jaccard, round(5 * tp / (5 * tp + 4 * fn + fp), 6) AS f_beta, round(tn / (tn + fp), 6) AS specificity FROM k""")
+def scores_by_class(spark, d):
+    return rounded(metrics.scores_by_class(_labelled(spark, d), "y", "p"))
+
+
+@query(f"WITH g AS (SELECT s, sum(y) AS a, count(*) - sum(y) AS b FROM ({_LABELLED}) GROUP BY 1), c AS (SELECT sum(a) OVER (ORDER BY s) / sum(a) OVER () AS ca, sum(b) OVER (ORDER BY s) / sum(b) OVER () AS cb FROM g) SELECT round(max(abs(ca - cb)), 6) AS ks FROM c")
+def kolmogorov_smirnov(spark, d):
+    return rounded(metrics.kolmogorov_smirnov(_labelled(spark, d), "y", "s"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
+def grouped_regression(spark, d):
+    out = gram.grouped_slopes(read(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return out.select("l_returnflag", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query("SELECT event_id, CASE WHEN count(*) OVER w >= 20 THEN round(regr_slope(value, event_id % 100) OVER w, 4) + 0.0 END AS slope FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def rolling_regression(spark, d):
+    e = read(spark, d, "events").withColumn("x", F.col("event_id") % 100)
+    return rounded(gram.rolling_slope(e, ["user_id"], ["ts", "event_id"], "x", "value", 20, "slope").select("event_id", "slope"), 4)
+
+
+@query()
+def huber_regression(spark, d):
+    return gram.to_df(spark, gram.huber(read(spark, d, "lineitem"), XS, "l_extendedprice", most=10, tol=1e-6).value).select("term", "estimate")
+
+
+@query("""WITH z AS (SELECT user_id, ts, event_id, value - avg(value) OVER (PARTITION BY user_id) AS z FROM events), l AS (SELECT user_id, z, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3 FROM z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, unnest([1, 2, 3])::INTEGER AS lag, round(unnest([sum(z * z1), sum(z * z2), sum(z * z3)]) / sum(z * z), 6) + 0.0 AS acf FROM l GROUP BY 1""")
+def autocorrelation_function(spark, d):
+    return rounded(series.autocorrelations(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 3))
+
+
+@query("SELECT least(floor((value - 0) / (300.0 / 20)), 19)::BIGINT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 300 GROUP BY 1")
+def histogram(spark, d):
+    return series.histogram(read(spark, d, "events"), "value", 20, 0.0, 300.0)
+
+
+@query("""WITH x AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), c AS (SELECT label, i, avg(v) AS m, count(*) AS n FROM x GROUP BY 1, 2), g AS (SELECT i, avg(v) AS m FROM x GROUP BY 1),
+w AS (SELECT sum((v - m) * (v - m)) AS w FROM x JOIN c USING (label, i)), b AS (SELECT sum(c.n * (c.m - g.m) * (c.m - g.m)) AS b FROM c JOIN g USING (i)), n AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM embeddings)
+SELECT round((b / (k - 1)) / (w / (n - k)), 4) AS calinski_harabasz FROM w, b, n""")
+def calinski_harabasz(spark, d):
+    got = cluster.separation(read(spark, d, "embeddings"), "embedding", "label")
+    return spark.createDataFrame([(round(got["calinski_harabasz"], 4),)], "calinski_harabasz double")
+
+
+@query()
+def davies_bouldin(spark, d):
+    return spark.createDataFrame([(cluster.separation(read(spark, d, "embeddings"), "embedding", "label")["davies_bouldin"],)], "davies_bouldin double")
+
+
+@query()
+def ledoit_wolf(spark, d):
+    cov, share = cluster.ledoit_wolf(read(spark, d, "embeddings"), "embedding")
+    return spark.createDataFrame([(i, float(v), share) for i, v in enumerate(cov.diagonal())], "i int, variance double, shrinkage double")
+
+
+@query()
+def two_scale_variance(spark, d):
+    import numpy as np
+    import pandas as pd
+
+    return rounded(series.per_key(ticks(spark, d), "series", ["t"], "tsrv double", lambda p: pd.DataFrame({"tsrv": [kernels.two_scale_variance(np.log(p["v"].to_numpy(float)), 5)]})))
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT user_id, i, value AS m, 0.0::DOUBLE AS v FROM r WHERE i = 1
+UNION ALL SELECT r.user_id, r.i, f.m + 0.1 * (r.value - f.m), 0.9 * (f.v + 0.1 * (r.value - f.m) * (r.value - f.m)) FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
+SELECT user_id, round(arg_max(m, i), 5) AS mean, round(arg_max(v, i), 4) AS variance FROM f GROUP BY 1""")
+def exponentially_weighted_variance(spark, d):
+    s = series.exponentially_weighted(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 0.1)
+    return s.select("user_id", F.round("ew_mean", 5).alias("mean"), F.round("ew_variance", 4).alias("variance"))
