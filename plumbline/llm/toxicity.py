@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import native
+
 #: Documented bounds of the fit: labelled rows of either class, by the order of a hash of the id.
 FIT_TOXIC, FIT_CLEAN = 8_000, 16_000
 #: Least training texts that hold an entry, and least log-odds of an entry.
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
     A bounded sample of labels (FIT_TOXIC and FIT_CLEAN rows, in the order of a hash of the id) is
     joined to the documents; the sample is small and its size known, so it is broadcast.
     Feature counts are made per partition, then summed. Rows with a null id or label
-    teach nothing; ids with several labels count as toxic if one is; equal texts count once.
+    teach nothing; ids with several labels count as toxic if one is; equal texts count once, and near copies mostly.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if train is not None:
@@ -139,7 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
     sample = pick(1, FIT_TOXIC).union(pick(0, FIT_CLEAN))
     texts = (docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
              .join(F.broadcast(sample.select(F.col(id_col).alias("i"), "y")), "i").select("t", "y"))
-    sampled = texts.groupBy(F.xxhash64("t").alias("h")).agg(F.max("y").alias("y"), F.first("t").alias("t")).select("t", "y").cache()
+    # near copies of one text would vote for all its words: texts of one least shingle hash count once
+    texts = native.with_grams(texts.withColumn("_w", native.words(F.col("t"))), "_w", "_g", 5)
+    kind = F.coalesce(F.array_min("_g"), F.xxhash64("t"))
+    sampled = texts.groupBy(kind.alias("h")).agg(F.max("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "y").cache()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
