@@ -41,7 +41,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
     parts = None
     for n in lengths:
         own = _with_prints(items.where(F.col("length") == n), n, window, gram)
-        own = own.select("item", "length", "words", F.posexplode(f"m{n}").alias("at", "print"))
+        # outer, so that no filter on the array's size is inferred: pushed down, it would repeat the whole chain of arrays
+        own = own.select("item", "length", "words", F.posexplode_outer(f"m{n}").alias("at", "print")).where("print is not null")
         own = own.select("length", "print", F.array_join(F.slice("words", F.col("at") + 1, F.col("length")), " ").alias("phrase"), "item")
         parts = own if parts is None else parts.union(own)
     if parts is None:
