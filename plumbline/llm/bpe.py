@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries of a generation of the piece cache (the last two are kept) and determinised states; bounds a worker's memory.
-CACHE_PIECES, CACHE_STATES = 300_000, 40_000
+CACHE_PIECES, CACHE_STATES = 200_000, 30_000
 #: Bytes after which a run without states settles what it can.
 LOOKAHEAD = 48
 
@@ -226,6 +226,13 @@ class Codec:
 
         self.pieces = Pieces()
 
+    def forget(self) -> None:
+        """Drop what was met, keep the vocabulary's tables: a worker that stays alive runs other stages next."""
+        self.pieces.clear()
+        self.pieces.before = {}
+        self.fst.fits.clear()
+        self.fst._reset()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -237,7 +244,7 @@ _CODECS: dict[tuple[bytes, str], Codec] = {}
 
 
 def codec_of(data: bytes, pattern: str) -> Codec:
-    """The codec of a rank file; one stays in a worker, with what it has determinised."""
+    """The codec of a rank file; one stays in a worker."""
     key = (hashlib.sha256(data).digest(), pattern)
     if key not in _CODECS:
         _CODECS.clear()
@@ -301,6 +308,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
                     arrays.append(pa.array(cols[3], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        codec.forget()
 
     schema = f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(id_col, text_col).mapInArrow(run, schema + ", ids binary" * keep_ids)

@@ -36,7 +36,7 @@ LENGTH, GRAM = 100, 24
 #: One document in so many is looked at for crowded keys, and a key is crowded beyond this share of their stretches.
 SAMPLE_DOCS, CROWDED_SHARE = 32, 1 / 2000
 #: Records that a mapper holds before it sends them on, and bytes of a block under one transform.
-FLUSH_RECORDS, BLOCK_BYTES = 400_000, 1 << 20
+FLUSH_RECORDS, BLOCK_BYTES = 300_000, 1 << 19
 #: Text bytes that an array of hashes is made of at a time.
 SLAB = 1 << 20
 
