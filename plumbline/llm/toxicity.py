@@ -141,10 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
     sample = pick(1, FIT_TOXIC).union(pick(0, FIT_CLEAN))
     texts = (docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
              .join(F.broadcast(sample.select(F.col(id_col).alias("i"), "y")), "i").select("t", "y"))
-    # near copies of one text would vote for all its words: texts of one least shingle hash count once
+    # near copies of one text would vote for all its words: texts of one label whose least three shingle hashes agree count once
     texts = native.with_grams(texts.withColumn("_w", native.words(F.col("t"))), "_w", "_g", 5)
-    kind = F.coalesce(F.array_min("_g"), F.xxhash64("t"))
-    sampled = texts.groupBy(kind.alias("h")).agg(F.max("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "y").cache()
+    least = F.slice(F.array_sort(F.array_distinct("_g")), 1, 3)
+    kind = F.when(F.size(least) == 3, least).otherwise(F.array(F.xxhash64("t")))
+    sampled = texts.groupBy(kind.alias("h"), "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "y").cache()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
