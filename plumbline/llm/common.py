@@ -14,19 +14,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset on a local master (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of df: a Parquet table in the shared folder, read back."""
+    """Cut the lineage of df: a Parquet table in the shared folder, read back; it is deleted when the application ends, if not discarded before."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _file_system(df.sparkSession, path)
+    files.deleteOnExit(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        files, at = _file_system(df.sparkSession, df._written_at)
+        files.delete(at, True)
+
+
+def bitmap(marks: DataFrame, bits: int) -> bytes:
+    """The numbers (0 to bits - 1) in the only column of marks as a bitmap, lowest bit first: bits / 8 bytes on the driver, whatever the table's size."""
+    name = marks.columns[0]
+    at = F.col(name) + 1
+    parts = marks.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = bytearray(bits // 8)
+    for k, part in parts.collect():
+        out[(k - 1) * 4096:k * 4096] = part
+    return bytes(out)
 
 
 def quoted(name: str) -> str:
@@ -62,16 +91,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = digest(now)
     if mark[0] == 0:
         return spark.createDataFrame([], "node long, root long")
+    # by another key than the one it was grouped by, so that the join has a shuffle of its own whose hot keys can be split
+    beside = lambda low: (low.withColumnRenamed("a", "of"), F.negative("a") == F.negative("of"))
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = (both.where("b > a").join(low, "a")
+        large = (both.where("b > a").join(*beside(low))
                  .select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = (large.join(*beside(low)).select(F.col("b").alias("a"), F.col("low").alias("b"))
                  .union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
         new = digest(now)
+        discard(before)
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = new
