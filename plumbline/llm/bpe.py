@@ -140,11 +140,11 @@ class Transducer:
         return at
 
     def _emit(self, tokens: list[int], starts: list[int], at: int) -> bytes:
-        out = b""
+        out = []
         while at:
-            out = self.packed[tokens[at]] + out
+            out.append(self.packed[tokens[at]])
             at = starts[at]
-        return out
+        return b"".join(reversed(out))
 
     def _cut(self, tail: bytes, tokens: list[int], starts: list[int], live: list[int]) -> tuple[bytes, tuple]:
         """What is settled, as ids, and the configuration after it."""
@@ -189,17 +189,64 @@ class Transducer:
 
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
-        state, out, moves = 0, b"", self.moves
+        state, out, moves = 0, [], self.moves
         for i, byte in enumerate(piece):
             to = moves[state].get(byte)
             if to is None:
                 if len(self.states) >= CACHE_STATES:
-                    return out + self._undetermined(state, piece[i:])
+                    out.append(self._undetermined(state, piece[i:]))
+                    break
                 to = self._step(state, byte)
             state = to[0]
             if to[1]:
-                out += to[1]
-        return out + self._end(state)
+                out.append(to[1])
+        else:
+            out.append(self._end(state))
+        return b"".join(out)
+
+
+class Utf8:
+    """Incremental UTF-8 state machine.
+
+    A state is how many bytes the character still needs, the range in which the next one must lie, and the bits so far;
+    it outlives the chunks. A byte out of range ends a malformed part, which becomes one U+FFFD, and is looked at again.
+    """
+
+    def __init__(self):
+        self.need, self.low, self.high, self.bits = 0, 0x80, 0xBF, 0
+
+    def feed(self, data: bytes) -> str:
+        out = []
+        need, low, high, bits = self.need, self.low, self.high, self.bits
+        for byte in data:
+            if need:
+                if low <= byte <= high:
+                    need, low, high, bits = need - 1, 0x80, 0xBF, bits << 6 | byte & 0x3F
+                    if not need:
+                        out.append(chr(bits))
+                    continue
+                out.append("\ufffd")
+                need, low, high = 0, 0x80, 0xBF
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif 0xC2 <= byte <= 0xDF:
+                need, bits = 1, byte & 0x1F
+            elif 0xE0 <= byte <= 0xEF:
+                need, bits = 2, byte & 0x0F
+                low, high = 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
+            elif 0xF0 <= byte <= 0xF4:
+                need, bits = 3, byte & 0x07
+                low, high = 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
+            else:
+                out.append("\ufffd")
+        self.need, self.low, self.high, self.bits = need, low, high, bits
+        return "".join(out)
+
+    def end(self) -> str:
+        """What an unfinished character leaves; the machine starts anew."""
+        left = "\ufffd" if self.need else ""
+        self.__init__()
+        return left
 
 
 class Codec:
@@ -225,6 +272,12 @@ class Codec:
                 return got
 
         self.pieces = Pieces()
+        self.texts = [None] * (max(fst.table, default=-1) + 1)
+        for token, data in fst.table.items():
+            machine = Utf8()
+            text = machine.feed(data)
+            if not machine.need and text.encode() == data:
+                self.texts[token] = text
 
     def forget(self) -> None:
         """Drop what was met, keep the vocabulary's tables: a worker that stays alive runs other stages next."""
@@ -237,8 +290,18 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
+        """The bytes of ids, whatever they are."""
         return b"".join(map(self.fst.table.__getitem__, memoryview(ids).cast("I")))
 
+    def decode_text(self, ids: bytes) -> str:
+        """The text of ids: tokens that are whole characters as they are, the bytes of others through the state machine."""
+        out, machine, texts, table = [], Utf8(), self.texts, self.fst.table
+        for token in memoryview(ids).cast("I"):
+            text = texts[token]
+            out.append(text if text is not None and not machine.need else machine.feed(table[token]))
+        out.append(machine.end())
+        return "".join(out)
+
 
 _CODECS: dict[tuple[bytes, str], Codec] = {}
 
@@ -253,27 +316,13 @@ def codec_of(data: bytes, pattern: str) -> Codec:
 
 
 def utf8_stream(chunks: Iterable[bytes]) -> Iterator[str]:
-    """Decode bytes that arrive in chunks cut anywhere; bad bytes become U+FFFD.
-
-    The state between chunks is the unfinished sequence: its bytes so far and how many
-    continuation bytes it still needs.
-    """
-    held = b""
+    """Decode bytes that arrive in chunks cut anywhere; each malformed part becomes U+FFFD."""
+    machine = Utf8()
     for chunk in chunks:
-        data, held = held + chunk, b""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead >= 0xC0:
-                need = 2 + (lead >= 0xE0) + (lead >= 0xF0)
-                if need > back and lead < 0xF8:
-                    data, held = data[:-back], data[-back:]
-                break
-            if lead < 0x80:
-                break
-        if data:
-            yield data.decode("utf-8", "replace")
-    if held:
-        yield held.decode("utf-8", "replace")
+        if text := machine.feed(chunk):
+            yield text
+    if text := machine.end():
+        yield text
 
 
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -300,7 +349,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
                 for text in part.column(1):
                     ids = codec.encode(text.as_py() or "")
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
-                                 hashlib.sha256(codec.decode(ids)).hexdigest(), ids if keep_ids else None))
+                                 hashlib.sha256(codec.decode_text(ids).encode()).hexdigest(), ids if keep_ids else None))
                 cols = list(zip(*rows))
                 arrays = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
