@@ -15,7 +15,8 @@ equal windows are first brought together:
 
 Keys that very many different stretches share (a common line in ever new surroundings) are found on
 a sample of the documents; their windows travel one by one, under a hash of their own, and
-spread evenly. The sample decides which way a window goes, never what becomes of it.
+spread evenly. The sample decides which way a window goes, never what becomes of it. So do the windows of keys whose
+different stretches turn out to have over KEY_BYTES bytes: no transform is larger than BLOCK_BYTES + KEY_BYTES.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ LENGTH, GRAM = 100, 24
 SAMPLE_DOCS, CROWDED_SHARE = 32, 1 / 2000
 #: Records that a mapper holds before it sends them on, and bytes of a block under one transform.
 FLUSH_RECORDS, BLOCK_BYTES = 300_000, 1 << 19
+#: Bytes of a key's different stretches beyond which its windows go one by one.
+KEY_BYTES = 1 << 22
 #: Text bytes that an array of hashes is made of at a time.
 SLAB = 1 << 20
 
@@ -134,6 +137,19 @@ class _Records:
         self.held.append((key, content, np.full(n, ident, np.int64), np.full(n, tie, np.int64), start.astype(np.uint32), windows.astype(np.uint32)))
         self.n += n
 
+    def add_windows(self, data: bytes, ident: int, tie: int, at: np.ndarray, length: int) -> None:
+        """The windows that start at the places `at`, one by one under a hash of their own."""
+        parts = [data[a:a + length] for a in at.tolist()]
+        self.add(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(at)), np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(at)),
+                 ident, tie, at, np.ones(len(at)))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """What flush() gives, as rows."""
+        got = list(self.flush())
+        for a in range(0, len(got), 4096):
+            b, k, p = zip(*got[a:a + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], ["bucket", "kind", "payload"])
+
     def flush(self) -> Iterator[tuple[int, int, bytes]]:
         """(bucket, kind, payload): kind 0 has the first of equal stretches, kind 1 the others, which are settled."""
         if not self.n:
@@ -191,14 +207,8 @@ def crowded_keys(docs: DataFrame, length: int, gram: int) -> set[int]:
 
 def _mapper(buckets: int, crowded: set[int], length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            got = list(records.flush())
-            for a in range(0, len(got), 4096):
-                b, k, p = zip(*got[a:a + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], ["bucket", "kind", "payload"])
-
         records, busy = _Records(buckets), np.array(sorted(crowded), np.uint64)
-        hashed, other = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
+        hashed = xxhash.xxh3_64_intdigest
         for batch in batches:
             for ident, tie, text in zip(*batch.columns):
                 data = text.as_py().encode()
@@ -209,14 +219,30 @@ def _mapper(buckets: int, crowded: set[int], length: int, gram: int):
                 alone = np.isin(key, busy) if len(busy) else np.zeros(len(key), bool)
                 if alone.any():
                     at = np.concatenate([np.arange(a, a + b) for a, b in zip(start[alone].tolist(), (n[alone] % _INNER).tolist())])
-                    parts = [data[a:a + length] for a in at.tolist()]
-                    records.add(np.fromiter(map(other, parts), np.uint64, len(at)), np.fromiter(map(hashed, parts), np.uint64, len(at)), ident, tie, at, np.ones(len(at)))
+                    records.add_windows(data, ident, tie, at, length)
                     key, start, n = key[~alone], start[~alone], n[~alone]
                 content = np.fromiter((hashed(data[a:b]) for a, b in zip(start.tolist(), (start + n % _INNER + length - 1).tolist())), np.uint64, len(start))
                 records.add(key, content, ident, tie, start, n)
                 if records.n >= FLUSH_RECORDS:
-                    yield from out()
-        yield from out()
+                    yield from records.batches()
+        yield from records.batches()
+
+    return run
+
+
+def _one_by_one(buckets: int, length: int):
+    """Rows of a document and its stretches under keys with too many bytes: their windows as records of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = _Records(buckets)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                for ident, tie, text, asked in zip(*(c.to_pylist() for c in batch.slice(a, 64).columns)):
+                    at = np.concatenate([np.arange(s["start"], s["start"] + s["windows"]) for s in asked])
+                    records.add_windows(text.encode(), ident, tie, at, length)
+                    if records.n >= FLUSH_RECORDS:
+                        yield from records.batches()
+        yield from records.batches()
 
     return run
 
@@ -234,8 +260,12 @@ def _by_document(ident, tie, start, windows) -> Iterator[tuple[int, int, bytes]]
             yield int(ident[a]), int(tie[a]), _pack(start[a:b].astype(np.uint32), windows[a:b].astype(np.uint32))
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition of buckets: repeats by document (kind 1), and stretches whose key others share (kind 0)."""
+_SETTLED = "kind int, _id long, _tie long, key long, start int, windows int, spans binary"
+
+
+def _settle(length: int, key_bytes: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition of buckets: repeats by document (kind 1), and stretches whose key others share (kind 0; 2 under
+    keys with over key_bytes of them)."""
     held = {0: [], 1: []}
     for batch in batches:
         for kind, payload in zip(batch.column(1), batch.column(2)):
@@ -253,8 +283,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(head) - 1
         shared = first & ((np.bincount(group, first)[group] >= 2) | (windows >= _INNER))
         windows = windows % np.uint32(_INNER)
+        size = np.bincount(group, shared * (windows.astype(np.int64) + length - 1))[group]
+        kind = np.where(size > key_bytes, 2, 0) if key_bytes is not None else np.zeros(len(key), np.int64)
         for i in np.flatnonzero(shared).tolist():
-            out.append((0, int(ident[i]), int(tie[i]), int(key[i].view(np.int64)), int(start[i]), int(windows[i]), None))
+            out.append((int(kind[i]), int(ident[i]), int(tie[i]), int(key[i].view(np.int64)), int(start[i]), int(windows[i]), None))
         more = [c[repeat] for c in (ident, tie, start, windows)]
         if sure:
             sure[5] = sure[5] % np.uint32(_INNER)
@@ -427,24 +459,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text).alias("_tie"), text.alias("text"), *more)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(_id, _tie, spans): for each document with repeats, its packed (start, windows) runs. docs: _id, _tie, text."""
     spark = docs.sparkSession
     gram = min(gram, length)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.mapInArrow(_mapper(buckets, crowded_keys(docs, length, gram), length, gram), "bucket int, kind int, payload binary")
-    settled = written(sent.repartition("bucket").mapInArrow(
-        _settle, "kind int, _id long, _tie long, key long, start int, windows int, spans binary"), "stretches")
-    asked = settled.where("kind = 0").groupBy("_id", "_tie").agg(F.collect_list(F.struct("key", "start", "windows")).alias("asked"))
+    records = "bucket int, kind int, payload binary"
+    sent = docs.mapInArrow(_mapper(buckets, crowded_keys(docs, length, gram), length, gram), records)
+    settled = written(sent.repartition("bucket").mapInArrow(lambda b: _settle(length, key_bytes, b), _SETTLED), "stretches")
     # a table row that stands there twice asks once
-    texts = docs.join(asked, ["_id", "_tie"]).select("_id", "_tie", "text", "asked")
-    pieces = texts.mapInArrow(_slices(length), "key long, _id long, _tie long, start long, data binary")
+    texts = lambda kind, *of: docs.join(settled.where(F.col("kind") == kind).groupBy("_id", "_tie").agg(
+        F.collect_list(F.struct(*of)).alias("asked")), ["_id", "_tie"]).select("_id", "_tie", "text", "asked")
+    spans = settled.where("kind = 1").select("_id", "_tie", "spans")
+    if not settled.where("kind = 2").isEmpty():
+        alone = texts(2, "start", "windows").mapInArrow(_one_by_one(buckets, length), records)
+        # equal windows of equal hashes are all settled here: 128 bits tell them apart
+        spans = spans.union(alone.repartition("bucket").mapInArrow(lambda b: _settle(length, None, b), _SETTLED).where("kind = 1").select("_id", "_tie", "spans"))
+    pieces = texts(0, "key", "start", "windows").mapInArrow(_slices(length), "key long, _id long, _tie long, start long, data binary")
     found = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_expand(length), "_id long, _tie long, spans binary")
-    return settled.where("kind = 1").select("_id", "_tie", "spans").union(found)
+    return spans.union(found)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False,
-          kept: str = "kept", report: str = "report") -> DataFrame:
+          kept: str = "kept", report: str = "report", key_bytes: int = KEY_BYTES) -> DataFrame:
     """docs with two more columns: `kept` (the bytes that stay; with decoded a string, without cut characters) and `report`, a struct of n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes and matches never cross documents. Strings are judged on the
@@ -457,7 +494,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
     cols = docs.columns
     own_id, own_tie, own_spans = (free(c, cols) for c in ("_id", "_tie", "spans"))
     keyed = docs.withColumns({own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), own_tie: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    spans = repeated_spans(_keyed(docs, id_col, text_col), length, gram)
+    spans = repeated_spans(_keyed(docs, id_col, text_col), length, gram, key_bytes)
     spans = spans.groupBy(F.col("_id").alias(own_id), F.col("_tie").alias(own_tie)).agg(F.collect_list("spans").alias(own_spans))
     joined = keyed.join(spans, [own_id, own_tie], "left").select(*map(quoted, cols), own_spans)
     at = cols.index(text_col)
