@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,13 @@ def test_crowded_keys_change_nothing(docs, rows, monkeypatch):
     assert all(tuple(r)[2:] == want[-(1 << 63) if r[0] is None else r[0], r[1] or ""] for r in got)
 
 
+@pytest.mark.parametrize("key_bytes", [0, 300, 2000])
+def test_keys_over_the_ceiling_change_nothing(docs, rows, key_bytes):
+    got = suffix_dedup.dedup(docs, kept="rest", report="facts", key_bytes=key_bytes).select("doc_id", "text", "facts.*").collect()
+    want = brute_dedup(rows, 100)
+    assert len(got) == len(rows) and all(tuple(r[2:]) == want[-(1 << 63) if r[0] is None else r[0], r[1] or ""] for r in got)
+
+
 def test_interval_bounds_are_common_prefixes():
     rng = np.random.default_rng(3)
     for n, sigma in ((1, 2), (50, 2), (400, 3), (400, 200)):
@@ -143,6 +151,30 @@ def test_bpe(docs, rows, nothing):
     assert bpe.encode_decode(nothing, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_long_pieces_take_linear_time():
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = bpe.Codec(bpe.read_ranks(open(path, "rb").read()), public_tokenizers.PATTERN)
+    usual = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = " " * 20_000 + "x"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == usual.encode_ordinary(text)
+    text = " " * 1_000_000
+    begin = time.process_time()
+    assert own.decode_text(own.encode(text)) == text and time.process_time() - begin < 20
+
+
+def test_utf8_machine_against_the_library():
+    rng = random.Random(3)
+    for _ in range(300):
+        data = bytes(rng.choice([0x41, 0x7F, 0x80, 0xA0, 0xBF, 0xC0, 0xC3, 0xE0, 0xE2, 0xED, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]) for _ in range(30))
+        cuts = sorted(rng.sample(range(31), 3))
+        chunks = [data[a:b] for a, b in zip([0, *cuts], [*cuts, 30])]
+        assert "".join(bpe.utf8_stream(chunks)) == data.decode("utf-8", "replace")
+
+
 def test_utf8_stream():
     text = "aé€😀z" * 5
     data = text.encode()
