@@ -3,8 +3,9 @@
 A page is a stream of tokens: opening and closing tags and texts. Streams of one host are aligned one
 after another into a union-free regular expression, the host's wrapper: what repeats in place
 becomes a repeated group, what only one side has becomes an optional group, and texts that differ become
-slots, those that never do stay constants. The wrapper tells where on this host's pages variable text
-stands, and which element holds the article where no tag says so.
+slots, those that never do stay constants. Each text of the wrapper names the containers it stands in; from the slots and
+constants of these places the article's places are chosen once for each host, and a page's text is what stands there.
+Element names and class words only rank the places.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ import hashlib
 import html
 import json
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Element names by what they do to text.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video", "select", "xmp")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -53,14 +58,18 @@ def _signature(name: str, rest: str) -> tuple[str, bool]:
     if attrs.get("role", "").lower() == "main":
         name, bad = "main", False
     classes = ".".join(sorted(attrs.get("class", "").split()))
-    return f"{name}.{classes}" if classes else name, bad
+    return (f"{name}.{classes}" if classes else name).replace("/", "").replace("\t", ""), bad
 
 
 class Page:
-    """Blocks of text with the containers around them, and the token stream."""
+    """Blocks of text with their places, and the token stream.
+
+    A place is the path of the containers around a block; one that opens boilerplate is marked by an exclamation mark.
+    A text is a token of "#", a hash and, after a tab, its place.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], bool, str]] = []  # containers, boilerplate, text
+        self.blocks: list[tuple[str, str]] = []  # place, text
         self.stream: list[str] = []
         stack: list[tuple[str, str, bool]] = []
         parts: list[str] = []
@@ -69,9 +78,9 @@ class Page:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                bad = any(b for _, _, b in stack) or any(n == "header" for n, _, _ in stack) and not any(n in ("article", "main") for n, _, _ in stack)
-                self.blocks.append((tuple(s for n, s, _ in stack if n in CONTAINER and n != "span"), bad, text))
-                self.stream.append("#" + hashlib.blake2b(text.encode(), digest_size=6).hexdigest())
+                place = "/".join(sign + "!" * bad for n, sign, bad in stack if n in CONTAINER and n != "span" or bad)
+                self.blocks.append((place, text))
+                self.stream.append("#" + hashlib.blake2b(text.encode(), digest_size=6).hexdigest() + "\t" + place)
 
         for m in _TOKEN.finditer(source):
             kind = m.lastgroup
@@ -103,42 +112,40 @@ class Page:
         close()
 
 
-def squeeze(tokens: list) -> list:
-    """Fold what repeats in place into ('*', group); groups of up to 12 tokens, shortest first."""
-    out: list = []
-    for t in tokens:
-        out.append(t)
-        for size in range(1, min(12, len(out)) + 1):
-            tail = out[-size:]
-            before = out[-size - 1] if len(out) > size else None
-            if isinstance(before, tuple) and before[0] == "*" and _alike(before[1], tail):
-                out[-size - 1:] = [("*", tuple(_common(before[1], tail)))]
-                break
-            if len(out) >= 2 * size and _balanced(tail) and _alike(out[-2 * size:-size], tail):
-                out[-2 * size:] = [("*", tuple(_common(out[-2 * size:-size], tail)))]
-                break
-    return out
-
-
 def _is_text(t) -> bool:
     return isinstance(t, str) and t.startswith("#")
 
 
-def _same(a, b) -> bool:
-    if _is_text(a) and _is_text(b):
-        return True
-    if isinstance(a, tuple) and isinstance(b, tuple) and a[0] == b[0]:
-        return _alike(a[1], b[1])
-    return a == b
+def _slot(t: str) -> str:
+    return "#" + t[t.index("\t"):]
 
 
-def _alike(a, b) -> bool:
-    return len(a) == len(b) and all(map(_same, a, b))
+def _key(t) -> str:
+    """What two tokens must have in common to be aligned: texts their place, groups their tokens; a group of one token is as that token."""
+    if isinstance(t, str):
+        return _slot(t) if _is_text(t) else t
+    return _key(t[1][0]) if len(t[1]) == 1 else "(" + " ".join(map(_key, t[1])) + ")"
+
+
+def _opened(t) -> tuple[str, tuple]:
+    """The kinds and the tokens of a group, of groups that hold nothing but a group as one."""
+    kinds, inner = "", (t,)
+    while len(inner) == 1 and isinstance(inner[0], tuple):
+        kinds, inner = kinds + inner[0][0], inner[0][1]
+    return kinds, inner
 
 
 def _common(a, b) -> list:
-    """Two alike sequences as one: texts that differ become slots."""
-    return [("#" if _is_text(x) and x != y else (x[0], tuple(_common(x[1], y[1]))) if isinstance(x, tuple) else x) for x, y in zip(a, b)]
+    """Two alike sequences as one: texts that differ become slots, what one side repeats or leaves out is a group."""
+    out = []
+    for x, y in zip(a, b):
+        if isinstance(x, str) and isinstance(y, str):
+            out.append(x if x == y else _slot(x))
+            continue
+        (p, u), (q, v) = _opened(x), _opened(y)
+        kinds, inner = p + q, tuple(_common(u, v))
+        out.append(("*" if "*" in kinds else "?", inner))
+    return out
 
 
 def _balanced(tokens) -> bool:
@@ -153,147 +160,231 @@ def _balanced(tokens) -> bool:
     return any(isinstance(t, str) and t.startswith("<") for t in tokens)
 
 
+#: Tokens of the longest group that is looked for, and cells of an alignment's table.
+MOST_GROUP, MOST_CELLS = 64, 1 << 22
+
+
+def squeeze(tokens: list) -> list:
+    """Fold what repeats in place into ('*', group), shortest first."""
+    out: list = []
+    keys: list[str] = []
+    for t in tokens:
+        out.append(t)
+        keys.append(_key(t))
+        if _is_text(t):
+            continue
+        for size in range(1, min(MOST_GROUP, len(out)) + 1):
+            tail = out[-size:]
+            before = out[-size - 1] if len(out) > size else None
+            if isinstance(before, tuple) and before[0] == "*" and len(before[1]) == size and keys[-size:] == list(map(_key, before[1])):
+                out[-size - 1:] = [("*", tuple(_common(before[1], tail)))]
+                keys[-size - 1:] = [_key(out[-1])]
+                break
+            if len(out) >= 2 * size and keys[-size] == keys[-2 * size] and keys[-size:] == keys[-2 * size:-size] and _balanced(tail):
+                out[-2 * size:] = [("*", tuple(_common(out[-2 * size:-size], tail)))]
+                keys[-2 * size:] = [_key(out[-1])]
+                break
+    return out
+
+
+def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; beyond MOST_CELLS one through keys that stand once on both sides, if any do."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    ends = [(i, i) for i in range(low)], [(len(a) - i, len(b) - i) for i in range(high, 0, -1)]
+    u, v = a[low:len(a) - high], b[low:len(b) - high]
+    if len(u) * len(v) <= MOST_CELLS:
+        numbers = {k: i for i, k in enumerate({*u, *v})}
+        x, y = (np.array([numbers[k] for k in c], np.int32) for c in (u, v))
+        return ends[0] + [(low + i, low + j) for i, j in _subsequence(x, y)] + ends[1]
+    once = lambda c: {k for k, n in Counter(c).items() if n == 1}
+    sure = once(u) & once(v)
+    where = {k: j for j, k in enumerate(v) if k in sure}
+    # the longest run of such keys that is in order on both sides
+    best: list[int] = []
+    chain: list[tuple[int, int, int]] = []
+    for i, k in enumerate(u):
+        if k in sure:
+            at = bisect_left([chain[c][1] for c in best], where[k])
+            chain.append((i, where[k], best[at - 1] if at else -1))
+            best[at:at + 1] = [len(chain) - 1]
+    anchors, c = [], best[-1] if best else -1
+    while c >= 0:
+        anchors.append(chain[c][:2])
+        c = chain[c][2]
+    middle, i, j = [], 0, 0
+    for p, q in [*anchors[::-1], (len(u), len(v))] if anchors else []:
+        middle += [(low + i + x, low + j + y) for x, y in _matched(u[i:p], v[j:q])]
+        if p < len(u):
+            middle.append((low + p, low + q))
+        i, j = p + 1, q + 1
+    return ends[0] + middle + ends[1]
+
+
+def _subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    n, m = len(a), len(b)
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + (b == a[i])))
+    out, i, j = [], n, m
+    while i and j and best[i, j]:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two wrappers: what both have stays, what one has alone is optional."""
-    n, m = len(a), len(b)
-    strip = lambda x: x[1] if isinstance(x, tuple) and x[0] == "?" else (x,)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if _meets(a[i], b[j]) else 0)
     out: list = []
-    i = j = 0
 
-    def alone(x) -> None:
-        group = tuple(strip(x))
-        if out and isinstance(out[-1], tuple) and out[-1][0] == "?" and not (isinstance(x, tuple) and x[0] == "?"):
-            out[-1] = ("?", out[-1][1] + group)
-        else:
+    def alone(tokens: list) -> None:
+        group: tuple = ()
+        for x in tokens:
+            if isinstance(x, tuple) and x[0] == "?":
+                if group:
+                    out.append(("?", group))
+                    group = ()
+                out.append(x)
+            else:
+                group += (x,)
+        if group:
             out.append(("?", group))
 
-    while i < n and j < m:
-        if _meets(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(_meet(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            alone(a[i])
-            i += 1
-        else:
-            alone(b[j])
-            j += 1
-    for x in a[i:]:
-        alone(x)
-    for x in b[j:]:
-        alone(x)
+    i = j = 0
+    for p, q in [*_matched(list(map(_key, a)), list(map(_key, b))), (len(a), len(b))]:
+        alone(a[i:p])
+        alone(b[j:q])
+        if p < len(a):
+            out += _common([a[p]], [b[q]])
+        i, j = p + 1, q + 1
     return out
 
 
-def _meets(x, y) -> bool:
-    if isinstance(x, tuple) and x[0] == "?" or isinstance(y, tuple) and y[0] == "?":
-        gx, gy = (t[1] if isinstance(t, tuple) and t[0] == "?" else (t,) for t in (x, y))
-        return _alike(gx, gy)
-    if isinstance(x, tuple) != isinstance(y, tuple):
-        group, one = (x, y) if isinstance(x, tuple) else (y, x)
-        return group[0] == "*" and len(group[1]) == 1 and _same(group[1][0], one)
-    return _same(x, y)
+def _frozen(x):
+    return tuple(map(_frozen, x)) if isinstance(x, list) else x
 
 
-def _meet(x, y):
-    if isinstance(x, tuple) and x[0] == "?" or isinstance(y, tuple) and y[0] == "?":
-        gx, gy = (t[1] if isinstance(t, tuple) and t[0] == "?" else (t,) for t in (x, y))
-        return ("?", tuple(_common(gx, gy)))
-    if isinstance(x, tuple) != isinstance(y, tuple):
-        group, one = (x, y) if isinstance(x, tuple) else (y, x)
-        return ("*", tuple(_common(group[1], (one,))))
-    return _common([x], [y])[0]
+def _names(place: str) -> list[str]:
+    return [sign.split(".")[0].rstrip("!") for sign in place.split("/")]
 
 
-def _frozen(x):
-    return tuple(map(_frozen, x)) if isinstance(x, list) else x
+def _is_boilerplate(place: str) -> bool:
+    names = _names(place)
+    return "!" in {sign[-1:] for sign in place.split("/")} or "header" in names and not {"article", "main"} & {*names}
 
 
-def article_path(wrapper: list) -> str | None:
-    """The container that has most slots of variable text, as a path; None without any."""
-    counts: dict[str, int] = defaultdict(int)
+def article_places(wrapper: list) -> list[str]:
+    """The places of a wrapper that hold the article, sorted.
 
-    def walk(tokens, stack: list[str], weight: int) -> list[str]:
+    Of the places that are no boilerplate those in an <article> or <main>, if there are any; else all that have a slot; else, where
+    nothing differs between the pages, all. A header in an <article> or <main> is the article's own, any other the page's.
+    """
+    slots: set[str] = set()
+    places: set[str] = set()
+
+    def walk(tokens) -> None:
         for t in tokens:
             if isinstance(t, tuple):
-                stack = walk(t[1], stack, weight * (3 if t[0] == "*" else 1))
-            elif t.startswith("</"):
-                name = t[2:-1]
-                if any(s.split(".")[0] == name for s in stack):
-                    while stack and stack.pop().split(".")[0] != name:
-                        pass
-            elif t.startswith("<"):
-                sign = t[1:-1]
-                if sign.split(".")[0] in CONTAINER:
-                    stack = [*stack, sign]
-            elif t == "#":
-                counts["/".join(stack)] += weight
-        return stack
-
-    walk(wrapper, [], 1)
-    usable = {p: c for p, c in counts.items() if p and not any(
-        s.split(".")[0] in BOILERPLATE or any(w in MARKS for part in s.split(".")[1:] for w in re.split(r"[^a-z]+", part.lower())) for s in p.split("/"))}
-    return max(usable, key=lambda p: (usable[p], -len(p), p)) if usable else None
-
-
-def main_text(page: Page, path: str | None) -> str:
-    """Text of the article: what <article> or <main> holds, else the wrapper's container, else all that is no boilerplate."""
-    good = [(c, t) for c, bad, t in page.blocks if not bad]
-    named = [t for c, t in good if any(s.split(".")[0] in ("article", "main") for s in c)]
-    if named:
-        return " ".join(named)
-    if path:
-        inside = [t for c, t in good if "/".join(c) == path or "/".join(c).startswith(path + "/")]
-        if inside:
-            return " ".join(inside)
-    return " ".join(t for _, t in good)
+                walk(t[1])
+            elif _is_text(t):
+                places.add(t[t.index("\t") + 1:])
+                if t[1] == "\t":
+                    slots.add(t[2:])
+
+    walk(wrapper)
+    good = {p for p in places if not _is_boilerplate(p)}
+    named = {p for p in good if {"article", "main"} & {*_names(p)}}
+    return sorted(named or good & slots or good)
+
+
+def main_text(page: Page, places: set[str]) -> str:
+    """What stands in the article's places of the page's host; on a page that has none of them, all that is no boilerplate."""
+    return " ".join([text for place, text in page.blocks if place in places] or [text for place, text in page.blocks if not _is_boilerplate(place)])
 
 
 def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+#: Shapes of pages and hosts that a task holds before it folds or sends them, and parts in which a host's wrappers meet first.
+MOST_SHAPES, MOST_HOSTS, PARTS = 2_000, 2_000, 32
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper as JSON, path of the article's container) of each host.
+    """(host, wrapper as JSON, the article's places) of each host.
 
-    Each task first folds its own pages: per host one wrapper, so that however many pages a host has,
-    one row for each task meets in the second step.
+    Each task folds its own pages into one wrapper a host (several beyond MOST_HOSTS hosts); different ones of a
+    host meet in PARTS parts, and those meet once more, so that no task gets a row for each page or each task.
     """
+    names = ["host", "wrapper"]
+
+    def rows(known: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
         shapes: dict[tuple, list] = {}
+
+        def settle():
+            for (host, _), flat in sorted(shapes.items(), key=lambda x: x[0]):
+                known[host] = align(known[host], flat) if host in known else flat
+            shapes.clear()
+
         for batch in batches:
             for host, source in zip(batch.column(0), batch.column(1)):
                 host = host.as_py()
                 flat = squeeze(Page(source.as_py() or "").stream)
                 # most pages have a shape that was met before: only their texts are compared
-                shape = (host, json.dumps(_shape(flat)))
+                shape = (host, hashlib.blake2b(_shape(flat).encode(), digest_size=16).digest())
                 shapes[shape] = _common(shapes[shape], flat) if shape in shapes else flat
-        for (host, _), flat in sorted(shapes.items(), key=lambda x: x[0]):
-            known[host] = align(known[host], flat) if host in known else flat
+                if len(shapes) >= MOST_SHAPES:
+                    settle()
+                if len(known) >= MOST_HOSTS:
+                    yield rows(known)
+                    known.clear()
+        settle()
         if known:
-            yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(w) for w in known.values()])], ["host", "wrapper"])
+            yield rows(known)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        """Rows sorted by host."""
+        last, wrapper = None, None
         for batch in batches:
-            for host, w in zip(batch.column(0), batch.column(1)):
-                host, w = host.as_py(), [_frozen(x) for x in json.loads(w.as_py())]
-                known[host] = align(known[host], w) if host in known else w
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(w) for w in known.values()]),
-                                              pa.array([article_path(w) for w in known.values()], pa.string())], ["host", "wrapper", "path"])
+            for host, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = [_frozen(x) for x in json.loads(w)]
+                if host == last:
+                    wrapper = align(wrapper, w)
+                    continue
+                if last is not None:
+                    yield rows({last: wrapper})
+                last, wrapper = host, w
+        if last is not None:
+            yield rows({last: wrapper})
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [article_places([_frozen(x) for x in json.loads(w)]) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*names, "places"])
 
-    parts = pages.select(_host(F.col(url_col)).alias("host"), html_col).mapInArrow(fold, "host string, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, "host string, wrapper string, path string")
+    kind = "host string, wrapper string"
+    parts = pages.select(_host(F.col(url_col)).alias("host"), html_col).mapInArrow(fold, kind).distinct()
+    part = F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)).alias("part")
+    parts = parts.select("*", part).repartition("host", "part").sortWithinPartitions("part", "host", "wrapper").select(*names)
+    return parts.mapInArrow(meet, kind).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, kind).mapInArrow(places, kind + ", places array<string>")
 
 
-def _shape(tokens) -> list:
-    return ["#" if _is_text(t) else [t[0], _shape(t[1])] if isinstance(t, tuple) else t for t in tokens]
+def _shape(tokens) -> str:
+    """The tokens without their texts."""
+    return "\n".join((_slot(t) if _is_text(t) else t) if isinstance(t, str) else f"{t[0]}({_shape(t[1])})" for t in tokens)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -301,16 +392,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     text is the article's blocks in page order, white space folded, joined by a space. Null or empty
     html gives an empty text; pages without a host share the empty host; repeated rows are each
-    returned; other columns are ignored; an empty table gives an empty result. Hosts' wrappers
-    (a path each) are joined by host; pages are read twice and never gathered by host.
+    returned; other columns are ignored; an empty table gives an empty result. Pages are read twice; hosts' places
+    are written first, so that Spark knows their size: it broadcasts them up to its threshold, and else joins by host, where
+    a host with many pages is split.
     """
-    paths = wrappers(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    rows = pages.select(id_col, url_col, html_col, _host(F.col(url_col)).alias("_host")).join(paths, "_host", "left").select(id_col, url_col, html_col, "_path")
+    places = written(wrappers(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("places").alias("_places")), "places")
+    rows = pages.select(id_col, url_col, html_col, _host(F.col(url_col)).alias("_host")).join(places, "_host", "left").select(id_col, url_col, html_col, "_places")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(Page(source.as_py() or ""), path.as_py()) for source, path in zip(batch.column(2), batch.column(3))]
+            texts = [main_text(Page(source.as_py() or ""), {*(found.as_py() or ())}) for source, found in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                                              [id_col, url_col, "text", "n_chars"])
 

@@ -243,7 +243,48 @@ def test_wrapper_groups():
     flat = html_extract.squeeze(stream)
     assert any(isinstance(t, tuple) and t[0] == "*" for t in flat)
     w = html_extract.align(html_extract.squeeze(html_extract.Page("<div><p>x</p></div>").stream), html_extract.squeeze(html_extract.Page("<div><h1>t</h1><p>y</p></div>").stream))
-    assert any(isinstance(t, tuple) and t[0] == "?" for t in w) and "#" in w
+    assert any(isinstance(t, tuple) and t[0] == "?" for t in w) and "#\tdiv" in w
+
+
+def test_wrapper_decides_between_places(spark):
+    """No element or class tells: sibling containers with variable prose stay, what never differs goes, whatever optional blocks stand between."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(12):
+        lead, story, aside = prose(rng, 8), [prose(rng, 9) for _ in range(rng.randint(1, 20))], "<div class=x><p>Always here</p></div>" * (i % 2)
+        rows.append((i, "http://h.example/", f"<body><div class=a><p>{lead}</p></div>{aside}<div class=b>" + "".join(f"<section class=s><h2>{t}</h2><p>{t} end</p></section>" for t in story) + "</div><div class=c>Never changes</div></body>"))
+        want[i] = " ".join([lead, *(f"{t} {t} end" for t in story)])
+    for parts in (1, 5):
+        got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_repeated_groups_may_be_long():
+    item = "".join(f"<p class=k{i}>text {i}</p>" for i in range(9))
+    flat = html_extract.squeeze(html_extract.Page("<ol>" + f"<li>{item}</li>" * 40 + "</ol>").stream)
+    assert len(flat) == 3 and flat[1][0] == "*" and len(flat[1][1]) == 29
+
+
+def test_alignment_of_long_pages(monkeypatch):
+    rng = random.Random(2)
+    for cells in (1 << 22, 50):
+        monkeypatch.setattr(html_extract, "MOST_CELLS", cells)
+        for _ in range(30):
+            a, b = ([f"<t{rng.randrange(12)}>" for _ in range(rng.randint(0, 40))] for _ in range(2))
+            pairs = html_extract._matched(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+            if cells > 50:
+                best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+                for i, x in enumerate(a):
+                    for j, y in enumerate(b):
+                        best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+                assert len(pairs) == best[-1][-1]
+    monkeypatch.undo()
+    pages = [html_extract.Page("<body>" + "".join(f"<div class=c{rng.randrange(10**6)}><p>{i}</p></div>" for i in range(5_000)) + "<main>end</main></body>") for _ in range(2)]
+    assert all(len(p.stream) > 20_000 for p in pages)
+    begin = time.process_time()
+    wrapper = html_extract.align(*(html_extract.squeeze(p.stream) for p in pages))
+    assert html_extract.article_places(wrapper) == ["body/main"] and time.process_time() - begin < 30
 
 
 def brute_print(t):
