@@ -1,10 +1,10 @@
 """Licence detection by a positional index of rare template words.
 
 Every template (a phrase, or a licence's opening words) is cut into words; the words that
-occur in the fewest templates have the highest IDF and are its anchors. A file's words are
-looked up in the anchor postings (template, position); equal differences of file position
-and template position are one alignment of that template. Only alignments are verified
-word by word, and a label needs its mandatory phrase at the aligned place.
+occur in the fewest templates have the highest IDF; the ANCHORS rarest of its mandatory phrase are its anchors. A file's
+words are looked up in the anchor postings (template, position). The difference of a word's position in the file and
+in the template is where the template would begin: the places that the postings of all its anchors have in common
+are its alignments. Only these are verified word by word: the mandatory phrase must stand there whole.
 """
 
 from __future__ import annotations
@@ -47,6 +47,9 @@ TEMPLATES = [
     ("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
 ]
 
+#: Words of a mandatory phrase whose postings are intersected.
+ANCHORS = 3
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -55,7 +58,7 @@ _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 class Index:
     """Anchor postings of all phrases and templates."""
 
-    def __init__(self, phrases=None, templates=None, anchors: int = 1, near: float = 0.8):
+    def __init__(self, phrases=None, templates=None, anchors: int = ANCHORS, near: float = 0.8):
         phrases = BASE_PHRASES if phrases is None else phrases
         templates = TEMPLATES if templates is None else templates
         self.near = near
@@ -64,8 +67,9 @@ class Index:
         df = Counter(w for _, words, _, _ in self.entries for w in set(words))
         self.idf = {w: log((1 + len(self.entries)) / (1 + n)) + 1 for w, n in df.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.n_anchors = [min(anchors, len(must)) for _, _, must, _ in self.entries]
         for t, (_, words, must, _) in enumerate(self.entries):
-            # a place needs its whole mandatory phrase, so the anchors are the rarest words of that
+            # a place needs its whole mandatory phrase, so all its anchors stand there; of equally rare words the longer, then the first
             at = next(i for i in range(len(words)) if words[i:i + len(must)] == must)
             for p in sorted(range(len(must)), key=lambda p: (-self.idf[must[p]], -len(must[p]), p))[:anchors]:
                 self.postings[must[p]].append((t, at + p))
@@ -84,7 +88,11 @@ class Index:
         if not hits:
             return n_words, 0, None, None, "", "", 0.0
         starts = np.flatnonzero(begins)
-        places = {(t, int(np.searchsorted(starts, at)) - p) for at, word in hits for t, p in self.postings[word]}
+        # an anchor is met once at a place, so a place that all anchors of a template have is counted as often
+        met = Counter()
+        for at, (_, word) in zip(np.searchsorted(starts, [at for at, _ in hits]).tolist(), hits):
+            met.update([(t, at - p) for t, p in self.postings[word]])
+        places = [(t, at) for (t, at), n in met.items() if n == self.n_anchors[t]]
         ends = np.flatnonzero(is_word & ~np.append(is_word[1:], False)) + 1
         word = lambda i: data[starts[i]:ends[i]] if 0 <= i < n_words else None
         base_places, base, labels, score = [], set(), set(), 0.0
