@@ -12,6 +12,8 @@ from .native import with_grams, with_window_min, words
 WINDOW, GRAM = 13, 8
 #: A benchmark of at most so many distinct fingerprints (8 bytes each) is broadcast; above, the join shuffles.
 BROADCAST_PRINTS = 1_000_000
+#: Bytes of the benchmark's windows with their items up to which these are broadcast too; above, hits are joined to them by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def _with_prints(df: DataFrame, length: int, window: int, gram: int) -> DataFrame:
@@ -67,8 +69,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     under BROADCAST_PRINTS.
     """
     bench = written(benchmark_windows(benchmark, window, gram, item_col, item_text_col), "benchmark")
-    size = bench.groupBy("length").agg(F.count_distinct("print").alias("n")).collect()  # a row for each length
+    heavy = 48 + F.octet_length("phrase") + F.aggregate("items", F.lit(0).cast("long"), lambda n, item: n + 16 + F.octet_length(item))
+    size = bench.groupBy("length").agg(F.count_distinct("print").alias("n"), F.sum(heavy).alias("bytes")).collect()  # a row for each length
     lengths, small = sorted(r["length"] for r in size), sum(r["n"] for r in size) <= BROADCAST_PRINTS
+    light = sum(r["bytes"] for r in size) <= BROADCAST_BYTES
     prints = bench.select("length", "print").distinct()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.xxhash64(id_col, text_col).alias("mark"), words(F.col(text_col)).alias("words"))
     for n in lengths:
@@ -92,7 +96,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     rows = rows.select("row", id_col, F.size("words").alias("n_words"), "length", "print", "words", F.explode_outer(starts).alias("start"))
     rows = rows.select("row", id_col, F.when(F.col("length") == 0, F.col("n_words")).alias("n_words"), "length", "print", "start",
                        F.array_join(F.slice("words", F.coalesce(F.col("start"), F.lit(0)) + 1, F.col("length")), " ").alias("phrase"))
-    hits = rows.join(F.broadcast(bench) if small else bench, ["length", "print", "phrase"], "left").where("length = 0 or items is not null")
+    hits = rows.join(F.broadcast(bench) if light else bench, ["length", "print", "phrase"], "left").where("length = 0 or items is not null")
     by_row = hits.groupBy("row", id_col).agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", "length"))).alias("spans"),
