@@ -11,7 +11,7 @@ from .common import input_bytes
 from .native import with_grams
 
 #: Words of a shingle; a shingle's hash is kept if it is among the lowest 1 / SCALE of all hashes.
-SHINGLE, SCALE = 5, 8
+SHINGLE, SCALE = 5, 4
 #: Input bytes of a bucket of neighbouring documents, and the most buckets (a list of so many bounds is held by the driver).
 BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 10_000
 _LOWEST, _RANGE = -(1 << 63), 1 << 64
