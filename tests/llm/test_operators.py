@@ -205,6 +205,31 @@ def test_license_scan(docs, rows, nothing, spark):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def test_license_labels_against_every_place():
+    """Labels and score against a scan that compares every template at every word."""
+    rng = random.Random(6)
+    index, words = license_scan.Index(), sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()})
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            text = rng.choice([t for _, t, _ in license_scan.TEMPLATES] + [*license_scan.BASE_PHRASES]).split()
+            if rng.random() < 0.5:
+                text[rng.randrange(len(text))] = rng.choice(words)
+            parts += text + rng.choices(words, k=rng.randint(0, 3))
+        labels, score = set(), 0.0
+        for label, entry, must, is_base in index.entries:
+            entry, must = [w.decode() for w in entry], [w.decode() for w in must]
+            first = next(i for i in range(len(entry)) if entry[i:i + len(must)] == must)
+            for at in range(-len(entry), len(parts)):
+                got = [0 <= at + i < len(parts) and parts[at + i] == w for i, w in enumerate(entry)]
+                if all(got) if is_base else all(got[first:first + len(must)]):
+                    labels.add(label)
+                    share = sum(index.idf[w.encode()] for w, ok in zip(entry, got) if ok) / sum(index.idf[w.encode()] for w in entry)
+                    score = max(score, 1.0 if is_base else min(1.0, share / index.near))
+        got = index.scan(" ".join(parts))
+        assert got[5] == ",".join(sorted(labels)) and abs(got[6] - score) < 1e-12
+
+
 def test_language_id(spark, data, nothing, docs):
     table = spark.read.parquet(f"{data}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -355,9 +380,10 @@ def brute_contamination(text, items):
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_decontaminate(spark, docs, rows, nothing, bound, monkeypatch):
+@pytest.mark.parametrize("bound,size", [(1_000_000, 1 << 26), (1_000_000, 0), (0, 1 << 26)])
+def test_decontaminate(spark, docs, rows, nothing, bound, size, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_PRINTS", bound)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
     items = [("a", rows[31][1][:400]), ("b", rows[2][1]), ("c", "MIT license"), ("d", None), ("e", ""), ("f", rows[2][1]), ("g", "One Two " + " ".join(rows[41][1].split()[100:140])), ("h", "a" * 700)]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id string, text string, doc_id string")
     got = decontaminate.contamination(docs, bench).collect()
@@ -384,6 +410,14 @@ def test_sketch(docs, rows, nothing, bucket, monkeypatch):
         assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(t), hashlib.sha256(e.encode()).hexdigest())
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (t == e)
+    errors = []
+    for r, t, u, e in zip(got, texts, texts[1:] + texts[:1], edited):
+        for near, other in ((r["near_edited"], e), (r["near_next"], u)):
+            (_, a), (_, b) = kept(t), kept(other)
+            if t != other and min(len(a), len(b)) >= 40:
+                errors.append(abs(near - len(a & b) / min(len(a), len(b))))
+    # of 40 shingles some 10 hashes are kept, so that a containment of a half is known to about 0.16
+    assert len(errors) > 20 and sum(errors) / len(errors) < 0.1 and max(errors) < 0.5
     by = {r["doc_id"]: r for r in got}
     assert by[200]["near_next"] == 1 and by[200]["fingerprint"] == by[201]["fingerprint"]
     w, s = kept(dict(rows)[205])
