@@ -42,10 +42,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    name = free("_bad", docs.columns)
-    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    """Documents that are not contaminated by the benchmark; each row by its own text, whatever other rows have its id."""
+    name, key = free("_bad", docs.columns), free("_key", docs.columns)
+    by_text = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    bad = decontaminate.contamination(by_text, table(spark, sf_dir, "benchmark"), id_col=key).where("contaminated").select(F.col(key).alias(name)).distinct()
+    return by_text.join(bad, F.col(key) == F.col(name), "left_anti").drop(key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
