@@ -8,11 +8,12 @@ from math import exp, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.special import norm_cdf
+from .running import running, spread
 
 
 @F.pandas_udf(DoubleType())
@@ -58,10 +59,12 @@ def gbm_paths(spark: SparkSession, n: int, steps: int, s0: float, mu: float, sig
 
 def wasserstein_1d(df: DataFrame, v: str, side: str) -> DataFrame:
     """Distance of order 1 between the values with side 0 and those with side 1: the area between their CDFs."""
-    from pyspark.sql import Window
-
     by = df.groupBy(F.col(v).alias("x")).agg(F.sum(F.when(F.col(side) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("b"))
     n = by.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = Window.orderBy("x")  # over distinct values
-    c = by.select("x", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), (F.lead("x").over(w) - F.col("x")).alias("dx")).join(F.broadcast(n))
-    return c.agg(F.sum(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")) * F.col("dx")).alias("wasserstein"))
+    c = running(by, ["x"], {"a": "ca", "b": "cb"}).join(F.broadcast(n)).select("x", F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")).alias("gap"))
+    # the gap after x lasts until the next value: summed by parts, a row for each range partition is enough to join them
+    inside = Window.partitionBy("_p").orderBy("x")
+    c = spread(c, ["x"]).withColumn("next", F.lead("x").over(inside))
+    ends = c.groupBy("_p").agg(F.sum(F.col("gap") * (F.col("next") - F.col("x"))).alias("area"), F.min("x").alias("first"), F.max("x").alias("last"), F.max_by("gap", "x").alias("end"))
+    after = F.lead("first").over(Window.orderBy("_p")) - F.col("last")
+    return ends.select((F.coalesce("area", F.lit(0.0)) + F.coalesce(after * F.col("end"), F.lit(0.0))).alias("part")).agg(F.sum("part").alias("wasserstein"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite
+from .running import quantiles, running
 
 
 def _labels(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -63,8 +64,9 @@ def regression(df: DataFrame, y: str, p: str) -> DataFrame:
     e, yy = F.col("e"), F.col("y")
     positive = (yy > -1) & (F.col("p") > -1)
     log_gap = F.log1p(yy) - F.log1p(F.col("p"))
+    median = quantiles(d, F.abs(e), [0.5])[0]
     return d.agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.max(F.abs(e)).alias("max_error"),
-                 F.avg(F.when(yy != 0, F.abs(e / yy))).alias("mape"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"),
+                 F.avg(F.when(yy != 0, F.abs(e / yy))).alias("mape"), F.lit(median).cast("double").alias("medae"),
                  (1 - F.avg(e * e) / F.nullif(F.var_pop("y"), F.lit(0.0))).alias("r2"), (1 - F.var_pop("e") / F.nullif(F.var_pop("y"), F.lit(0.0))).alias("explained_variance"),
                  F.avg(e).alias("bias"), F.avg(F.when(positive, log_gap * log_gap)).alias("msle"))
 
@@ -89,15 +91,14 @@ def deviance(df: DataFrame, y: str, p: str, power: int = 1) -> DataFrame:
 def mid_ranks(df: DataFrame, score: str, out: str) -> DataFrame:
     """Rank of equal scores: the mean of their places. Counts by score are ranked, so rows of one score may be many."""
     counts = df.groupBy(score).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_r", F.sum("_n").over(Window.orderBy(score)) - (F.col("_n") - 1) / 2)
+    counts = running(counts, [score], {"_n": "_c"}).withColumn("_r", F.col("_c") - (F.col("_n") - 1) / 2)
     return df.join(counts.select(score, F.col("_r").alias(out)), score)
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Mann-Whitney with mid-ranks; null unless there are exactly two classes. Works on counts by score."""
     by = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.when(F.round(y) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(score)
-    by = by.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    by = running(by, [score], {"n": "seen"}).withColumn("rank", F.col("seen") - (F.col("n") - 1) / 2)
     s = by.agg(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     neg = F.col("n") - F.col("p")
     return s.select(F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("roc_auc"))
@@ -106,8 +107,7 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     """Mean precision at each distinct score, weighted by recall gained; equal scores count together."""
     by = df.groupBy(score).agg(F.sum(F.when(F.round(y) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score))
-    by = by.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w))
+    by = running(by, [F.desc(score)], {"pos": "tp", "n": "seen"})
     return by.agg((F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
@@ -178,8 +178,7 @@ def scores_by_class(df: DataFrame, y: str, p: str, beta: float = 2.0) -> DataFra
 
 def kolmogorov_smirnov(df: DataFrame, y: str, score: str) -> DataFrame:
     """Largest gap between the score's distributions in the two classes; on counts by score."""
-    by = df.groupBy(score).agg(F.sum(F.when(F.round(y) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(score)
-    c = by.withColumn("cp", F.sum("pos").over(w)).withColumn("cn", F.sum(F.col("n") - F.col("pos")).over(w))
+    by = df.groupBy(score).agg(F.sum(F.when(F.round(y) > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.round(y) > 0, 0).otherwise(1)).alias("neg"))
+    c = running(by, [score], {"pos": "cp", "neg": "cn"})
     s = c.agg(F.max("cp").alias("tp"), F.max("cn").alias("tn"))
     return c.join(F.broadcast(s)).agg(F.max(F.abs(F.col("cp") / F.col("tp") - F.col("cn") / F.col("tn"))).alias("ks"))

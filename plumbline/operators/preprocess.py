@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, only_finite
+from .running import quantiles
 
 
 @dataclass
@@ -61,8 +62,8 @@ def max_abs_scaler(df: DataFrame, cols: Sequence[str]) -> Affine:
 
 def robust_scaler(df: DataFrame, cols: Sequence[str]) -> Affine:
     """Median and interquartile range, linear quantiles; a zero range scales by 1."""
-    s = _facts(df, cols, q=lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    return Affine({c: s[c]["q"][1] for c in cols}, {c: (s[c]["q"][2] - s[c]["q"][0]) or 1.0 for c in cols})
+    q = {c: quantiles(df, only_finite(F.col(c).cast("double")), [0.25, 0.5, 0.75]) for c in cols}
+    return Affine({c: q[c][1] for c in cols}, {c: (q[c][2] - q[c][0] if q[c][1] is not None else 0.0) or 1.0 for c in cols})
 
 
 def normalize(df: DataFrame, cols: Sequence[str], norm: str = "l2", suffix: str = "") -> DataFrame:
@@ -123,7 +124,7 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean") -> DataFr
             top = df.where(finite(F.col(c))).groupBy(c).count().orderBy(F.desc("count"), c).first()
             fill[c] = top[0] if top else None
     else:
-        s = _facts(df, cols, v=F.avg if strategy == "mean" else (lambda c: F.percentile(c, F.lit(0.5))))
+        s = _facts(df, cols, v=F.avg) if strategy == "mean" else {c: {"v": quantiles(df, only_finite(F.col(c).cast("double")), [0.5])[0]} for c in cols}
         fill = {c: s[c]["v"] for c in cols}
     return df.withColumns({c: F.coalesce(only_finite(F.col(c)), F.lit(fill[c])) for c in cols})
 
@@ -152,7 +153,7 @@ def k_bins(df: DataFrame, col: str, n: int, out: str, strategy: str = "uniform")
         s = _facts(df, [col], lo=F.min, hi=F.max)[col]
         edges = [s["lo"] + (s["hi"] - s["lo"]) * i / n for i in range(1, n)]
     else:
-        edges = _facts(df, [col], q=lambda c: F.percentile(c, F.array(*(F.lit(i / n) for i in range(1, n)))))[col]["q"]
+        edges = quantiles(df, only_finite(F.col(col).cast("double")), [i / n for i in range(1, n)])
     place = F.lit(0)
     for e in edges:
         place = place + F.when(F.col(col) >= F.lit(e), 1).otherwise(0)
@@ -175,12 +176,17 @@ def power_transform(df: DataFrame, col: str, out: str) -> tuple[DataFrame, float
     return df.withColumn(out, yeo_johnson(F.col(col).cast("double"), best)), best
 
 
-def quantile_transform(df: DataFrame, col: str, out: str, knots: int = 100) -> DataFrame:
-    """Piecewise linear empirical CDF over the knots, clipped to [1e-6, 1 - 1e-6]."""
-    q = df.agg(F.percentile(only_finite(F.col(col).cast("double")), F.array(*(F.lit(i / (knots - 1)) for i in range(knots)))).alias("q")).first()["q"]
-    steps = [(i, a, b) for i, (a, b) in enumerate(pairwise(q)) if b > a]
-    x = F.col(col).cast("double")
-    value = F.when(x <= F.lit(q[0]), F.lit(0.0))
-    for i, a, b in steps:
-        value = value.when(x <= F.lit(b), (F.lit(float(i)) + (x - F.lit(a)) / F.lit(b - a)) / F.lit(knots - 1.0))
-    return df.withColumn(out, F.least(F.greatest(value.when(x.isNotNull(), F.lit(1.0)), F.lit(1e-6)), F.lit(1 - 1e-6)))
+def quantile_transform(df: DataFrame, col: str, out: str, knots: int = 1000) -> DataFrame:
+    """Piecewise linear empirical CDF over min(knots, rows) quantiles, clipped to [1e-6, 1 - 1e-6]; null where the value is."""
+    x = only_finite(F.col(col).cast("double"))
+    k = min(knots, df.agg(F.count(x)).first()[0])
+    if k < 2:
+        return df.withColumn(out, F.when(x.isNotNull(), F.lit(0.5)))
+    q = quantiles(df, x, [i / (k - 1) for i in range(k)])
+    known = F.array(*map(F.lit, q))
+    # binary search: the last knot at or below the value
+    steps = [1 << i for i in range(k.bit_length() - 1, -1, -1)]
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when((at + s < k) & (F.get(known, at + s) <= x), at + s).otherwise(at))
+    a, b = F.get(known, place), F.get(known, F.least(place + 1, F.lit(k - 1)))
+    value = (place + F.when(b > a, (x - a) / (b - a)).otherwise(0.0)) / F.lit(k - 1.0)
+    return df.withColumn(out, F.when(x.isNotNull(), F.least(F.greatest(value, F.lit(1e-6)), F.lit(1 - 1e-6))))

@@ -7,13 +7,14 @@ a window or a fold stay in the engine; the others run once for each key in Arrow
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import pi, sqrt
+from math import cos, pi, sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite
+from .running import spread
 
 
 def moments(df: DataFrame, key: Sequence[str], v: str) -> DataFrame:
@@ -92,10 +93,18 @@ def durations(df: DataFrame, key: Sequence[str], t: str) -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, t: str, v: str, out: str, key: Sequence[str] = ()) -> DataFrame:
     """Previous-tick join: each left row gets the last right value at or before its time (null before the first).
 
-    A union and one window by key instead of a range join: each row is shuffled once.
+    A union and one window by key instead of a range join: each row is shuffled once. Without a key rows are dealt by ranges
+    of time, and the last value of each range is carried to those after it.
     """
     one = left.select(*key, t, F.lit(1).alias("_s"), F.lit(None).cast("double").alias("_v"), F.struct(*left.columns).alias("_row"))
     two = right.select(*key, t, F.lit(0).alias("_s"), F.col(v).cast("double").alias("_v"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row"))
+    if not key:
+        both = spread(one.union(two), [t, "_s"])
+        inside = Window.partitionBy("_p").orderBy(t, "_s").rowsBetween(Window.unboundedPreceding, 0)
+        ends = both.groupBy("_p").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(t, "_s"))).alias("_e"))
+        ends = ends.select(F.col("_p").alias("_q"), F.last("_e", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_e"))
+        here = both.withColumn("_l", F.last("_v", ignorenulls=True).over(inside)).where("_s = 1")
+        return here.join(F.broadcast(ends), F.col("_p") == F.col("_q")).select("_row.*", F.coalesce("_l", "_e").alias(out))
     w = Window.partitionBy(*key).orderBy(t, "_s").rowsBetween(Window.unboundedPreceding, 0)
     return one.union(two).withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_s = 1").select("_row.*", out)
 
@@ -158,3 +167,53 @@ def histogram(df: DataFrame, v: str, bins: int, low: float, high: float) -> Data
     """(bin, n) of equal widths; the last bin holds its upper end, what is outside is left out."""
     b = F.least(F.floor((F.col(v) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("long")
     return df.where((F.col(v) >= low) & (F.col(v) <= high)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def mid_price(bid: DataFrame, ask: DataFrame, t: str, v: str) -> DataFrame:
+    """(t, mid): the mean of the last bid and the last ask at each time of either; null before both are known."""
+    clock = bid.select(t).union(ask.select(t)).distinct()
+    both = asof(asof(clock, bid, t, v, "_bid"), ask, t, v, "_ask")
+    return both.select(t, ((F.col("_bid") + F.col("_ask")) / 2).alias("mid"))
+
+
+def microprice(bid: Column, ask: Column, bid_size: Column, ask_size: Column) -> Column:
+    """The quotes weighted by the size on the other side."""
+    share = bid_size / F.greatest(bid_size + ask_size, F.lit(1e-12))
+    return share * ask + (1 - share) * bid
+
+
+def order_flow(df: DataFrame, key: Sequence[str], order: Sequence[str], bid: str, ask: str, bid_size: str, ask_size: str, out: str = "ofi") -> DataFrame:
+    """df with the order-flow imbalance of each quote against the one before; null at the first of a key."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    b, a, qb, qa = (F.col(c) for c in (bid, ask, bid_size, ask_size))
+    b0, a0, qb0, qa0 = (F.lag(c).over(w) for c in (bid, ask, bid_size, ask_size))
+    buy = F.when(b > b0, qb).when(b == b0, qb - qb0).otherwise(-qb0)
+    sell = F.when(a < a0, -qa).when(a == a0, qa0 - qa).otherwise(qa0)
+    return df.withColumn(out, F.when(b0.isNotNull(), buy + sell))
+
+
+def jump_test(df: DataFrame, key: Sequence[str], order: Sequence[str], v: str) -> DataFrame:
+    """(key, qv, bv, jump, statistic): realised variance against bipower variation, of the increments of log v."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    d = df.withColumn("_r", F.log(v) - F.lag(F.log(v)).over(w)).withColumn("_b", F.abs("_r") * F.abs(F.lag("_r").over(w)))
+    s = d.groupBy(*key).agg(F.sum(F.col("_r") * F.col("_r")).alias("qv"), (F.sum("_b") * (pi / 2)).alias("bv"), F.count("_r").alias("_n"), F.sum(F.pow("_r", F.lit(4.0))).alias("_q"))
+    scale = F.sqrt((pi * pi / 4 + pi - 5) * F.col("_n") / 3 * F.col("_q")) / F.sqrt("_n")
+    return s.select(*key, "qv", "bv", F.greatest(F.col("qv") - F.col("bv"), F.lit(0.0)).alias("jump"), F.when(scale > 0, (F.col("qv") - F.col("bv")) / scale).otherwise(0.0).alias("statistic"))
+
+
+def realised_kernel(df: DataFrame, key: Sequence[str], order: Sequence[str], v: str, bandwidth: int) -> DataFrame:
+    """(key, realised_kernel): autocovariances of the increments of log v under Tukey-Hanning weights, 0 at least."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    d = df.withColumn("_r", F.log(v) - F.lag(F.log(v)).over(w))
+    d = d.withColumns({f"_g{h}": F.col("_r") * F.lag("_r", h).over(w) if h else F.col("_r") * F.col("_r") for h in range(bandwidth + 1)})
+    total = F.sum("_g0")
+    for h in range(1, bandwidth + 1):
+        total = total + 2 * F.lit(0.5 * (1 + cos(pi * (h - 1) / bandwidth))) * F.coalesce(F.sum(f"_g{h}"), F.lit(0.0))
+    return d.groupBy(*key).agg(F.greatest(total, F.lit(0.0)).alias("realised_kernel"))
+
+
+def realised_covariance(df: DataFrame, key: Sequence[str], order: Sequence[str], a: str, b: str) -> DataFrame:
+    """(key, variance_a, variance_b, covariance): sums of products of the increments."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    d = df.withColumn("_a", F.col(a) - F.lag(a).over(w)).withColumn("_b", F.col(b) - F.lag(b).over(w))
+    return d.groupBy(*key).agg(F.sum(F.col("_a") * F.col("_a")).alias("variance_a"), F.sum(F.col("_b") * F.col("_b")).alias("variance_b"), F.sum(F.col("_a") * F.col("_b")).alias("covariance"))

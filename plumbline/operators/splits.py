@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def k_fold(df: DataFrame, order: list[str], k: int, out: str = "fold") -> DataFrame:
     """Row number modulo k, rows numbered by partition counts of a range sort, so no single task sees all rows."""
@@ -21,8 +23,9 @@ def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
 
 
 def stratified_k_fold(df: DataFrame, label: str, order: list[str], k: int, out: str = "fold") -> DataFrame:
-    """Row number inside the class modulo k."""
-    return df.withColumn(out, ((F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1) % k).cast("int"))
+    """Row number inside the class modulo k; classes are ranked in range partitions, so a class may be as large as it likes."""
+    one = running(df.withColumn("_one", F.lit(1)), order, {"_one": "_i"}, [label])
+    return one.withColumn(out, ((F.col("_i") - 1) % k).cast("int")).drop("_one", "_i")
 
 
 def group_k_fold(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFrame:
