@@ -17,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ class Transducer:
             if len(t) > 1 and (pair := self._last_merge(t)):
                 self.halves[ranks[t]] = pair
                 self.whole[pair] = ranks[t]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by a << 20 | b
         self._reset()
 
     def _reset(self) -> None:
@@ -80,7 +81,7 @@ class Transducer:
 
     def may_follow(self, a: int, b: int) -> bool:
         """True if the merges leave a and b apart: no pair across their seam ever merges before its own parts do."""
-        got = self.fits.get((a, b))
+        got = self.fits.get(a << 20 | b)
         if got is not None:
             return got
         x, y, before, apart = a, b, 1 << 60, True
@@ -96,9 +97,9 @@ class Transducer:
                 before, y = y + 1, right[0]
             else:
                 break
-        if len(self.fits) > 4 * CACHE_STATES:
+        if len(self.fits) > 10 * CACHE_STATES:
             self.fits.clear()
-        self.fits[a, b] = apart
+        self.fits[a << 20 | b] = apart
         return apart
 
     def _extend(self, tail: bytes, tokens: list[int], starts: list[int], open_at: list[int]) -> list[int]:
@@ -114,7 +115,7 @@ class Transducer:
                 live.append(s)
             if token is None and entry > 1:
                 t, p = (entry >> 1) - 1, tokens[s]
-                ok = p < 0 or fits((p, t))
+                ok = p < 0 or fits(p << 20 | t)
                 if ok is None:
                     ok = self.may_follow(p, t)
                 if ok:
@@ -171,6 +172,33 @@ class Transducer:
         """The transducer run on from a state without keeping what it meets: for rare pieces when the states are all taken."""
         tail, tokens, starts, live = self.states[state]
         tokens, starts, out = [*tokens], [*starts], []
+        if len(tail) + len(rest) < LOOKAHEAD:
+            # as _extend does it, without what a longer run needs
+            begin, tail = len(tail), tail + rest
+            known, fits = self.known.get, self.fits.get
+            for end in range(begin + 1, len(tail) + 1):
+                left, token = [], -1
+                for s in (*live, end - 1):
+                    entry = known(tail[s:end])
+                    if entry is None:
+                        continue
+                    if entry & 1:
+                        left.append(s)
+                    if token < 0 and entry > 1:
+                        t, p = (entry >> 1) - 1, tokens[s]
+                        if p >= 0:
+                            ok = fits(p << 20 | t)
+                            if ok is None:
+                                ok = self.may_follow(p, t)
+                            if not ok:
+                                continue
+                        token, start = t, s
+                if token < 0:
+                    raise ValueError(f"byte {tail[end - 1]} is not in the vocabulary")
+                tokens.append(token)
+                starts.append(start)
+                live = left
+            return self._emit(tokens, starts, len(tail))
         for i in range(len(rest)):
             tail += rest[i:i + 1]
             live = self._extend(tail, tokens, starts, live)
@@ -278,6 +306,7 @@ class Codec:
             text = machine.feed(data)
             if not machine.need and text.encode() == data:
                 self.texts[token] = text
+        self.whole = np.array([t is not None for t in self.texts], bool)
 
     def forget(self) -> None:
         """Drop what was met, keep the vocabulary's tables: a worker that stays alive runs other stages next."""
@@ -295,10 +324,18 @@ class Codec:
 
     def decode_text(self, ids: bytes) -> str:
         """The text of ids: tokens that are whole characters as they are, the bytes of others through the state machine."""
-        out, machine, texts, table = [], Utf8(), self.texts, self.fst.table
-        for token in memoryview(ids).cast("I"):
-            text = texts[token]
-            out.append(text if text is not None and not machine.need else machine.feed(table[token]))
+        tokens = np.frombuffer(ids, "<u4")
+        broken, tokens, texts, table = np.flatnonzero(~self.whole[tokens]).tolist(), tokens.tolist(), self.texts, self.fst.table
+        out, machine, at = [], Utf8(), 0
+        for i in [*broken, len(tokens)]:
+            if at < i:
+                if machine.need:  # a character that its tokens left unfinished
+                    out.append(machine.feed(table[tokens[at]]))
+                    at += 1
+                out += map(texts.__getitem__, tokens[at:i])
+            if i < len(tokens):
+                out.append(machine.feed(table[tokens[i]]))
+            at = i + 1
         out.append(machine.end())
         return "".join(out)
 
