@@ -6,21 +6,14 @@ from collections.abc import Iterator
 from math import exp, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.special import norm_cdf
+from .closed import normal_cdf
 from .running import running, spread
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(norm_cdf, na_action="ignore")
-
-
 def black_scholes(spot: Column, strike: Column, rate: Column, vol: Column, t: Column, call: bool = True) -> Column:
     d1 = (F.log(spot / strike) + (rate + vol * vol / 2) * t) / (vol * F.sqrt(t))
     d2 = d1 - vol * F.sqrt(t)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plumbline.plans.more  # noqa: F401  registers its queries
+import plumbline.plans.wide  # noqa: F401
 from plumbline.functions import special
 from plumbline.operators import cluster, finance, gram, kernels, pairwise, series, splits
 from plumbline.operators.text import fnv1a
