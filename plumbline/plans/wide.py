@@ -99,9 +99,9 @@ def band_pass_filter(spark, d):
     return rounded(paths.band_pass(_events(spark, d), _USER, _ORDER, "x", 6, 32, 6, "cycle").select("event_id", "cycle"))
 
 
-@query(f"SELECT event_id, round(CASE WHEN count(*) OVER w >= 5 THEN covar_pop(x, t0) OVER w / nullif(var_pop(t0) OVER w, 0) END, 6) + 0.0 AS slope FROM (SELECT *, (event_id % 17)::DOUBLE AS t0 FROM ({_EVENTS})) {_W}")
+@query(f"SELECT event_id, round(CASE WHEN count(*) OVER w >= 5 THEN covar_pop(x, t0) OVER w / nullif(var_pop(t0) OVER w, 0) END, 6) + 0.0 AS slope FROM (SELECT *, sqrt(event_id % 17) AS t0 FROM ({_EVENTS})) {_W}")
 def expanding_regression(spark, d):
-    e = _events(spark, d).withColumn("t0", (F.col("event_id") % 17).cast("double"))
+    e = _events(spark, d).withColumn("t0", F.sqrt(F.col("event_id") % 17))
     return rounded(selection.expanding_slope(e, _USER, _ORDER, "t0", "x", 5).select("event_id", "slope"), 6)
 
 
