@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running
+from .running import running, spread
 
 
 def k_fold(df: DataFrame, order: list[str], k: int, out: str = "fold") -> DataFrame:
@@ -14,9 +14,8 @@ def k_fold(df: DataFrame, order: list[str], k: int, out: str = "fold") -> DataFr
 
 
 def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Global 0-based rank by order (a key): ranks inside range partitions plus the counts of those before."""
-    spread = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    inside = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    """Global 0-based rank by order (a key): ranks inside ranges plus the counts of those before."""
+    inside = spread(df, order).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = inside.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_b")
     return inside.join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")

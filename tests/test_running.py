@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import bayes, curves, metrics, preprocess, running, series, splits
+from plumbline.operators import bayes, curves, metrics, preprocess, running, selection, series, splits
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +129,58 @@ def test_wasserstein_over_ranges(spark):
     assert abs(got - np.abs(a - b).mean()) < 1e-9
 
 
+def test_branches_of_a_range_partition_agree(spark):
+    # more rows in a partition than range partitioning samples, and no coalescing into one range
+    rng = random.Random(5)
+    left = [(i, rng.random() * 50) for i in range(6000)]
+    right = [(rng.random() * 50, float(i)) for i in range(60)]
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a, b = spark.createDataFrame(left, "i long, t double"), spark.createDataFrame(right, "t double, v double")
+        got = {r["i"]: r["p"] for r in series.asof(a, b, "t", "v", "p").collect()}
+        bid, ask = b.where("v < 30"), b.where("v >= 30")
+        mid = {r["t"]: r["mid"] for r in series.mid_price(bid, ask, "t", "v").collect()}
+        sums = {r["i"]: r["s"] for r in running.running(a.withColumn("g", F.col("i") % 2), ["t"], {"i": "s"}, ["g"]).collect()}
+        scored = spark.createDataFrame([(i % 2, [t, -t]) for i, t in left], "label int, s array<double>")
+        auc = {r["label"]: r["roc_auc"] for r in selection.roc_auc_by_class(scored, "label", "s").collect()}
+        ranks = {r["i"]: r["k"] for r in splits.ranked(a, ["t"], "k").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+
+    def last(ticks, t):
+        at = [s for s in ticks if s[0] <= t]
+        return max(at)[1] if at else None
+
+    assert got == {i: last(right, t) for i, t in left}
+    want = {}
+    for t, _ in right:
+        x, y = last([r for r in right if r[1] < 30], t), last([r for r in right if r[1] >= 30], t)
+        want[t] = None if x is None or y is None else (x + y) / 2
+    assert mid == want
+    total, by_time = [0, 0], sorted(left, key=lambda r: r[1])
+    for i, _ in by_time:
+        total[i % 2] += i
+        assert sums[i] == total[i % 2]
+    assert ranks == {i: k for k, (i, _) in enumerate(by_time)}
+    place = {i: k + 1 for k, (i, _) in enumerate(by_time)}
+    n = len(left) // 2
+    share = (sum(place[i] for i, _ in left if i % 2 == 0) - n * (n + 1) / 2) / (n * n)
+    assert abs(auc[0] - share) < 1e-12 and abs(auc[1] - share) < 1e-12
+
+
+def test_ranges_of_any_order(spark):
+    rows = [(None, 1), (float("nan"), 2), (float("-inf"), 3), (0.5, 4), (0.5, 5), (2.0, None)] * 40
+    df = spark.createDataFrame(rows, "x double, y int").withColumn("z", F.timestamp_seconds("y"))
+    for order, descending in ((["x", "y"], False), (["x", "y"], True), (["z", F.col("x")], False)):
+        out = running.spread(df, order, descending=descending)
+        key = F.struct(*order)
+        ends = out.groupBy("_p").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        pairs = ends.alias("a").join(ends.alias("b"), F.expr("a._p < b._p"))
+        assert ends.count() > 2
+        assert pairs.where("a.low <= b.high" if descending else "a.high >= b.low").count() == 0
+
+
 def test_crossings_of_a_mean_among_the_values(spark):
     # means that are a value of the series but for rounding: the sum in the order of the series decides
     rng = random.Random(11)
