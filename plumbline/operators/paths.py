@@ -12,7 +12,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite
+from ..functions.expr import finite, ratio
 
 
 def _steps(df: DataFrame, key: Sequence[str], order: Sequence[str], *values: str) -> DataFrame:
@@ -75,9 +75,12 @@ def jump_statistics(df: DataFrame, key: Sequence[str], order: Sequence[str], v:
 
 
 def jump_ratio(realised: DataFrame, n: str) -> DataFrame:
-    """realised (with rv, bipower, quadpower and a count of increments) with the ratio statistic of realised and bipower variation."""
-    bound = F.sqrt(F.greatest((pi * pi / 4 + pi - 5) * F.col("quadpower") / (F.col(n) * F.col("rv") * F.col("rv")), F.lit(0.0)))
-    return realised.withColumn("statistic", F.when(bound > 0, (F.col("bipower") / F.col("rv") - 1) / bound).otherwise(0.0))
+    """realised (with rv, bipower, quadpower and a count of increments) with the ratio statistic of realised and bipower variation.
+
+    Null below four increments, infinite or NaN without variation.
+    """
+    bound = F.sqrt(ratio((pi * pi / 4 + pi - 5) * F.col("quadpower"), F.col(n) * F.col("rv") * F.col("rv")))
+    return realised.withColumn("statistic", ratio(ratio(F.col("bipower"), F.col("rv")) - 1, bound))
 
 
 def hurst(df: DataFrame, key: Sequence[str], order: Sequence[str], v: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import bayes, curves, metrics, preprocess, running, selection, series, splits
+from plumbline.operators import bayes, curves, metrics, paths, preprocess, running, selection, series, splits
 
 
 @pytest.fixture(scope="module")
@@ -181,6 +181,29 @@ def test_ranges_of_any_order(spark):
         assert pairs.where("a.low <= b.high" if descending else "a.high >= b.low").count() == 0
 
 
+def test_measures_of_a_price_of_zero(spark):
+    price = {"a": [1.0, 2.0, 0.0, 0.0, 3.0, 1.0, 2.0], "b": [1.0, 2.0, 0.5, 3.0, 2.0, 0.7], "c": [2.0, 3.0], "d": [4.0, 4.0, 4.0, 4.0, 4.0, 4.0], "e": [1.0, 0.0, 2.0]}
+    df = spark.createDataFrame([(k, i, v) for k, vs in price.items() for i, v in enumerate(vs)], "k string, i int, v double")
+    real = series.realised(df, ["k"], ["i"], "v").withColumn("n", F.lit(5))
+    rv = {r["k"]: r for r in real.collect()}
+    jump = {r["k"]: r for r in series.jump_test(df, ["k"], ["i"], "v").collect()}
+    kernel = {r["k"]: r["realised_kernel"] for r in series.realised_kernel(df, ["k"], ["i"], "v", 3).collect()}
+    ratio = {r["k"]: r["statistic"] for r in paths.jump_ratio(real, "n").collect()}
+    with np.errstate(all="ignore"):
+        x = {k: np.diff(np.log(vs)) for k, vs in price.items()}
+    for k in "abcde":
+        with np.errstate(all="ignore"):
+            assert np.allclose(rv[k]["rv"], (x[k] ** 2).sum(), equal_nan=True), k
+            assert np.allclose(jump[k]["qv"], (x[k] ** 2).sum(), equal_nan=True), k
+            if len(x[k]) > 1:
+                assert np.allclose(rv[k]["bipower"], math.pi / 2 * np.abs(x[k][1:] * x[k][:-1]).sum(), equal_nan=True), k
+    assert math.isnan(rv["a"]["rv"]) and math.isnan(jump["a"]["statistic"]) and math.isnan(kernel["a"]) and math.isnan(ratio["a"])
+    assert rv["e"]["rv"] == math.inf and jump["e"]["qv"] == math.inf and math.isnan(jump["e"]["jump"]) and math.isnan(kernel["e"])
+    assert all(math.isfinite(v) for v in (rv["b"]["rv"], jump["b"]["statistic"], kernel["b"], ratio["b"]))
+    assert ratio["c"] is None and jump["c"]["statistic"] is None  # too few increments
+    assert math.isnan(ratio["d"]) and math.isnan(jump["d"]["statistic"])  # no variation
+
+
 def test_crossings_of_a_mean_among_the_values(spark):
     # means that are a value of the series but for rounding: the sum in the order of the series decides
     rng = random.Random(11)
