@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 CACHE_PIECES, CACHE_STATES = 200_000, 30_000
 #: Bytes after which a run without states settles what it can.
 LOOKAHEAD = 48
+#: Seconds after its last task for which a worker keeps what it met: the next task of the stage begins with it.
+KEEP_SECONDS = 5.0
 
 #: Unicode White_Space, spelt out: Python's \s also has U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -307,6 +310,7 @@ class Codec:
             if not machine.need and text.encode() == data:
                 self.texts[token] = text
         self.whole = np.array([t is not None for t in self.texts], bool)
+        self.lock, self.users, self.timer, self.keep = threading.Lock(), 0, None, 0.0
 
     def forget(self) -> None:
         """Drop what was met, keep the vocabulary's tables: a worker that stays alive runs other stages next."""
@@ -315,6 +319,32 @@ class Codec:
         self.fst.fits.clear()
         self.fst._reset()
 
+    def __enter__(self) -> Codec:
+        """For a task: nothing is forgotten before it ends."""
+        with self.lock:
+            self.users += 1
+            if self.timer:
+                self.timer.cancel()
+                self.timer = None
+        return self
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            self.users -= 1
+            if self.users:
+                return
+            if not self.keep:
+                self.forget()
+                return
+            self.timer = threading.Timer(self.keep, self._unused)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def _unused(self) -> None:
+        with self.lock:
+            if not self.users:
+                self.forget()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -363,14 +393,15 @@ def utf8_stream(chunks: Iterable[bytes]) -> Iterator[str]:
 
 
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                  keep_ids: bool = False) -> DataFrame:
+                  keep_ids: bool = False, keep_seconds: float = KEEP_SECONDS) -> DataFrame:
     """Encode each text, decode its ids again, and return digests (and the ids on request).
 
     Columns: the id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids
     (binary, little-endian unsigned 32-bit). A null text counts as empty (0 tokens);
     repeated rows are each returned; other columns of docs are ignored, whatever their
     names; an empty table gives an empty result. Row-local: no shuffle. The vocabulary
-    (a fixed file of under 1 MB) is read by the driver and broadcast.
+    (a fixed file of under 1 MB) is read by the driver and broadcast. Workers keep what they met for keep_seconds
+    after a task, some 110 MB each; 0: they drop it with each task.
     """
     spark: SparkSession = docs.sparkSession
     with open(ranks_file, "rb") as f:
@@ -379,22 +410,23 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(data.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for text in part.column(1):
-                    ids = codec.encode(text.as_py() or "")
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
-                                 hashlib.sha256(codec.decode_text(ids).encode()).hexdigest(), ids if keep_ids else None))
-                cols = list(zip(*rows))
-                arrays = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    arrays.append(pa.array(cols[3], pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
-        codec.forget()
+        codec.keep = keep_seconds
+        with codec:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    rows = []
+                    for text in part.column(1):
+                        ids = codec.encode(text.as_py() or "")
+                        rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                                     hashlib.sha256(codec.decode_text(ids).encode()).hexdigest(), ids if keep_ids else None))
+                    cols = list(zip(*rows))
+                    arrays = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
+                    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if keep_ids:
+                        arrays.append(pa.array(cols[3], pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(id_col, text_col).mapInArrow(run, schema + ", ids binary" * keep_ids)
