@@ -7,11 +7,17 @@ one reads it back, so a lost executor costs a stage's unfinished tasks at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
-from plumbline.llm.common import free, quoted, table, written
+from plumbline.llm.common import bound_batches, free, quoted, table, written
+
+#: Bytes of an Arrow batch in a stage: an executor holds several at once, in the JVM and in its workers.
+BATCH_BYTES = 4 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,16 +59,27 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (little-endian unsigned 32-bit), their count and digests."""
     import public_tokenizers
 
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True, keep_seconds=0)
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True, keep_seconds=0, cache_share=0.5)
+
+
+def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, with Arrow batches of at most BATCH_BYTES from now on in the session; no stage's result depends on its batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
-STAGES = [
+STAGES = [(name, _bounded(stage)) for name, stage in (
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_copies),
     ("suffix_array_dedup", cut_repeats),
     ("benchmark_decontamination", drop_contaminated),
     ("byte_level_bpe", encode),
-]
+)]
 
 #: SQL can express neither the learnt lexicon nor XXH64 fingerprints.
 ORACLE_SQL = None

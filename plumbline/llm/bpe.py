@@ -14,8 +14,10 @@ configurations without keeping them.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import threading
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,11 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import give_back, giving_back
+
 #: Entries of a generation of the piece cache (the last two are kept) and determinised states; bounds a worker's memory.
 CACHE_PIECES, CACHE_STATES = 200_000, 30_000
 #: Bytes after which a run without states settles what it can.
 LOOKAHEAD = 48
-#: Seconds after its last task for which a worker keeps what it met: the next task of the stage begins with it.
+#: Seconds after its last task for which a worker keeps what it met (the next task of the stage begins with it), and the vocabulary's tables in any case.
 KEEP_SECONDS = 5.0
 
 #: Unicode White_Space, spelt out: Python's \s also has U+001C to U+001F.
@@ -62,6 +66,7 @@ class Transducer:
                 self.halves[ranks[t]] = pair
                 self.whole[pair] = ranks[t]
         self.fits: dict[int, bool] = {}  # by a << 20 | b
+        self.share = 1.0  # of CACHE_STATES, and of CACHE_PIECES in Codec
         self._reset()
 
     def _reset(self) -> None:
@@ -100,7 +105,7 @@ class Transducer:
                 before, y = y + 1, right[0]
             else:
                 break
-        if len(self.fits) > 10 * CACHE_STATES:
+        if len(self.fits) > 10 * CACHE_STATES * self.share:
             self.fits.clear()
         self.fits[a << 20 | b] = apart
         return apart
@@ -224,7 +229,7 @@ class Transducer:
         for i, byte in enumerate(piece):
             to = moves[state].get(byte)
             if to is None:
-                if len(self.states) >= CACHE_STATES:
+                if len(self.states) >= CACHE_STATES * self.share:
                     out.append(self._undetermined(state, piece[i:]))
                     break
                 to = self._step(state, byte)
@@ -296,7 +301,7 @@ class Codec:
                 if got is None:
                     got = fst.encode(piece.encode())
                 if len(piece) <= 64:
-                    if len(self) >= CACHE_PIECES:
+                    if len(self) >= CACHE_PIECES * fst.share:
                         self.before = dict(self)
                         self.clear()
                     self[piece] = got
@@ -313,7 +318,7 @@ class Codec:
         self.lock, self.users, self.timer, self.keep = threading.Lock(), 0, None, 0.0
 
     def forget(self) -> None:
-        """Drop what was met, keep the vocabulary's tables: a worker that stays alive runs other stages next."""
+        """Drop what was met, keep the vocabulary's tables: the next task of the stage needs them."""
         self.pieces.clear()
         self.pieces.before = {}
         self.fst.fits.clear()
@@ -335,15 +340,19 @@ class Codec:
                 return
             if not self.keep:
                 self.forget()
-                return
-            self.timer = threading.Timer(self.keep, self._unused)
+            self.timer = threading.Timer(self.keep or KEEP_SECONDS, _drop, (weakref.ref(self),))
             self.timer.daemon = True
             self.timer.start()
 
-    def _unused(self) -> None:
+    def retire(self) -> bool:
+        """Unless a task has it: forget, and be no worker's codec any more."""
         with self.lock:
-            if not self.users:
-                self.forget()
+            if self.users:
+                return False
+            self.forget()
+            for key in [k for k, c in [*_CODECS.items()] if c is self]:
+                _CODECS.pop(key, None)
+            return True
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -373,8 +382,17 @@ class Codec:
 _CODECS: dict[tuple[bytes, str], Codec] = {}
 
 
+def _drop(of: weakref.ref[Codec]) -> None:
+    """Give back an unused codec, the vocabulary's tables too: a worker that stays alive runs other stages next."""
+    codec = of()
+    if codec and codec.retire():
+        del codec
+        gc.collect()  # it is part of cycles
+        give_back()
+
+
 def codec_of(data: bytes, pattern: str) -> Codec:
-    """The codec of a rank file; one stays in a worker."""
+    """The codec of a rank file; one stays in a worker, until it is unused for a while."""
     key = (hashlib.sha256(data).digest(), pattern)
     if key not in _CODECS:
         _CODECS.clear()
@@ -393,7 +411,7 @@ def utf8_stream(chunks: Iterable[bytes]) -> Iterator[str]:
 
 
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                  keep_ids: bool = False, keep_seconds: float = KEEP_SECONDS) -> DataFrame:
+                  keep_ids: bool = False, keep_seconds: float = KEEP_SECONDS, cache_share: float = 1.0) -> DataFrame:
     """Encode each text, decode its ids again, and return digests (and the ids on request).
 
     Columns: the id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids
@@ -401,7 +419,8 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
     repeated rows are each returned; other columns of docs are ignored, whatever their
     names; an empty table gives an empty result. Row-local: no shuffle. The vocabulary
     (a fixed file of under 1 MB) is read by the driver and broadcast. Workers keep what they met for keep_seconds
-    after a task, some 110 MB each; 0: they drop it with each task.
+    after a task, some 110 MB each; 0: they drop it with each task. cache_share: the part of CACHE_PIECES and CACHE_STATES
+    they may hold; with less, more is encoded anew and the ids are the same.
     """
     spark: SparkSession = docs.sparkSession
     with open(ranks_file, "rb") as f:
@@ -410,7 +429,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(data.value, pattern)
-        codec.keep = keep_seconds
+        codec.keep, codec.fst.share = keep_seconds, cache_share
         with codec:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
@@ -429,4 +448,4 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema + ", ids binary" * keep_ids)
+    return docs.select(id_col, text_col).mapInArrow(giving_back(run), schema + ", ids binary" * keep_ids)

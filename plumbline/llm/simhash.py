@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, giving_back, written
 
 RADIUS = 2
 #: Rows of a tile above which its comparison is dealt out as pairs of chunks.
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], [id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(giving_back(run), f"{id_col} {kind}, fp long")
 
 
 def _links(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -135,7 +135,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROW
             if linked.any():
                 yield pa.RecordBatch.from_arrays([pa.array(held_a[linked].view(np.int64)), pa.array(held_b[linked].view(np.int64))], ["a", "b"])
 
-    return units.repartition("unit").mapInArrow(run, "a long, b long")
+    return units.repartition("unit").mapInArrow(giving_back(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import native
+from .common import giving_back
 
 #: Documented bounds of the fit: labelled rows of either class, by the order of a hash of the id.
 FIT_TOXIC, FIT_CLEAN = 8_000, 16_000
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part]), pa.array([c[0] for _, c in part], pa.int64()),
                                               pa.array([c[1] for _, c in part], pa.int64())], ["f", "clean", "toxic"])
 
-    counts = sampled.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
+    counts = sampled.mapInArrow(giving_back(count), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
     total = counts.where("f = ''").first()
     n_clean, n_toxic = (total["clean"] or 0, total["toxic"] or 0) if total else (0, 0)
     if not n_clean or not n_toxic:
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.evidence(t.as_py()) for t in batch.column(0)], pa.float64()),
                                               batch.column(1)], ["x", "y"])
 
-    got = np.array([(r["x"], r["y"] > 0) for r in sampled.mapInArrow(measure, "x double, y int").collect()], float)
+    got = np.array([(r["x"], r["y"] > 0) for r in sampled.mapInArrow(giving_back(measure), "x double, y int").collect()], float)
     sampled.unpersist()
     counts.unpersist()
     # one-variable logistic fit; the classes weigh alike
@@ -227,7 +228,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())],
                                              [id_col, "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(giving_back(run), f"{id_col} {kind}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -238,4 +239,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_c
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([lexicon.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

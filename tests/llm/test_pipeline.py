@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -74,3 +75,18 @@ def test_stages(spark, corpus):
     assert all(r["decoded_sha256"] == hashlib.sha256((before[r["doc_id"]] or "").encode()).hexdigest() for r in rows)
     whole = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, folder).collect()}
     assert whole == {(r["doc_id"], r["ids_sha256"]) for r in rows}
+
+
+def test_batches_are_bounded_by_bytes(spark, corpus):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(0, 1200, 1, 1).selectExpr("id as doc_id", "repeat('ab ', 4000) as text")
+    try:
+        dict(corpus_pipeline.STAGES)["byte_level_bpe"](spark, docs, corpus[0])
+        sizes = docs.mapInArrow(lambda bs: (pa.record_batch({"n": [b.nbytes]}) for b in bs), "n long")
+        assert sizes.agg({"n": "max"}).first()[0] < 5 << 20 and sizes.count() >= 3
+        spark.conf.set(name, "1m")  # a smaller bound stays
+        dict(corpus_pipeline.STAGES)["byte_level_bpe"](spark, docs, corpus[0])
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
